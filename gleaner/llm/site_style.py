@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.shared import checkpointed, read_table
 
-THRESHOLD = 0.3
+THRESHOLD = 0.75
 DECAY = 0.9
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|([^<]+|<)", re.S | re.I)
 _STYLE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)

@@ -276,8 +276,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH lines AS (
-  SELECT doc_id, i AS line_no, string_split(text, chr(10))[i] AS line
-  FROM documents, range(1, 100000) AS r(i) WHERE i <= len(string_split(text, chr(10)))
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no
+  FROM documents
 ), flagged AS (
   SELECT *, CASE WHEN trim(line) = '' THEN TRUE ELSE row_number() OVER (PARTITION BY trim(line) ORDER BY doc_id, line_no) = 1 END AS kept
   FROM lines

@@ -71,6 +71,25 @@ def iban(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
+def heads(found: str) -> list[str]:
+    """``found`` and what is left of it without its last groups of digits."""
+    out = []
+    while found:
+        out.append(found)
+        found = found[: max(found.rfind(c) for c in " .-(") + 1].rstrip(" .-(")
+    return out
+
+
+def phone(found: str) -> bool:
+    """Groups of digits that a phone number can have: 11 after +1, 8 to 15 after another sign, else 9 to 13 in three groups at least."""
+    n, signed = sum(c.isdigit() for c in found), found[0] == "+"
+    if found.count("(") != found.count(")"):
+        return False
+    if signed:
+        return n == 11 if re.match(r"\+1\b", found) else 8 <= n <= 15
+    return 9 <= n <= 13 and len(re.findall(r"\d+", found)) >= 3
+
+
 def email_at(text: str, at: int) -> tuple[int, int] | None:
     """The e-mail address whose at-sign is at ``at``."""
     start = at
@@ -124,20 +143,19 @@ def number_at(text: str, at: int, done: int, cued: bool) -> tuple[str, int, int]
     if m and before != "-" and m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000":
         return "ssn", at, m.end()
     m = _CARD.match(text, at)
-    if m and luhn(re.sub(r"\D", "", m.group())):
-        return "card", at, m.end()
+    for part in reversed(heads(m.group())) if m else ():  # other numbers may follow
+        digits = re.sub(r"\D", "", part)
+        if len(digits) >= 13 and luhn(digits):
+            return "card", at, at + len(part)
     start = at
     if start > done and text[start - 1] == "(":
         start -= 1
     if start > done and text[start - 1] == "+":
         start -= 1
     m = _PHONE.match(text, start)
-    if m:
-        n = sum(c.isdigit() for c in m.group())
-        signed = m.group()[0] == "+"
-        parts = len(re.findall(r"\d+", m.group()))
-        if (signed and 8 <= n <= 15) or (not signed and 9 <= n <= 13 and parts >= 3 and m.group().count("(") == m.group().count(")")):
-            return "phone", start, m.end()
+    for part in heads(m.group()) if m else ():
+        if phone(part):
+            return "phone", start, start + len(part)
     if cued:
         m = _ACCOUNT.match(text, at)
         if m:

@@ -166,10 +166,23 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.select("id", "version", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
+def _settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Marks occurrences that have an earlier one in their batch: they are repeats
+    whatever the shard says, so a line that half the corpus has is no hot key."""
+    for b in batches:
+        b = b.sort_values(["h1", "h2", "id", "version", "line_no"]).drop_duplicates()
+        line = b[["h1", "h2"]]
+        yield b.assign(settled=(line == line.shift()).all(axis=1))
+
+
 def _repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Occurrences that aren't the first, from one shard's lines in order."""
     shard, last = Shard(), None
     for b in batches:
+        done = b["settled"].to_numpy(bool)
+        if done.any():
+            yield b.loc[done, ["id", "version", "line_no"]]
+        b = b[~done].drop(columns="settled")
         if not len(b):
             continue
         at = b[["id", "version", "line_no"]]
@@ -188,8 +201,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     """id, version, line_no of every occurrence of a line after its first.
 
     One exchange of ids and hashes; a task is a shard and reads it in order.
+    Occurrences settled before the exchange are spread over all tasks.
     """
-    lines = lines_of(docs).repartition("h1").sortWithinPartitions("id", "version", "line_no")
+    lines = lines_of(docs).mapInPandas(_settled, "id long, version long, line_no int, h1 long, h2 long, settled boolean")
+    shard = F.when(F.col("settled"), F.xxhash64("id", "line_no")).otherwise(F.col("h1"))
+    lines = lines.repartition(shard).sortWithinPartitions("id", "version", "line_no")
     return lines.mapInPandas(_repeats, "id long, version long, line_no int")
 
 

@@ -12,8 +12,8 @@ meets, the others may score too, which only raises their k-th result.
 
 On vectors without structure in their dimensions the bound falls late and most
 rows are scored; the answer is exact on any. Pairs of shards are the unit of work:
-they are dealt over tasks, a task holding one block of queries and ``GROUP``
-shards, so memory doesn't depend on the number of vectors.
+they are dealt over tasks, a task holding ``GROUP`` shards that ask and ``GROUP``
+that answer, so memory doesn't depend on the number of vectors.
 
 Defined results
 ---------------
@@ -35,7 +35,7 @@ from gleaner.llm.shared import checkpointed, read_table
 
 K = 10
 SHARD_ROWS = 2048
-GROUP = 16
+GROUP = 4
 _TIE = 2e-9
 
 
@@ -81,17 +81,22 @@ def descend(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, names: np
             scores[a], found[a] = s[order], f[order]
 
 
+def element(vectors: DataFrame, vector_col: str) -> type:
+    """What a vector's elements travel as; scores are sums of doubles in any case."""
+    return np.float32 if dict(vectors.dtypes)[vector_col] == "array<float>" else np.float64
+
+
 def packed_shards(vectors: DataFrame, id_col: str, vector_col: str, shard_rows: int) -> tuple[DataFrame, int]:
     """One row per shard and length: shard, dims, ids, rows (binary)."""
     plain = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     sound = "id IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))"
     rows = plain.filter(sound).groupBy("id").agg(F.min("v").alias("v")).select("id", "v", F.size("v").alias("dims"))
-    rows = checkpointed(rows)
+    rows, kind = checkpointed(rows), element(vectors, vector_col)
     shards = max(1, -(-rows.count() // shard_rows))
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        return pd.DataFrame({"shard": [key[0]], "dims": [key[1]], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "rows": [np.stack(pdf["v"].to_numpy()).astype(np.float64).tobytes()]})
+        return pd.DataFrame({"shard": [key[0]], "dims": [key[1]], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "rows": [np.stack(pdf["v"].to_numpy()).astype(kind).tobytes()]})
 
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     return checkpointed(dealt.groupBy("shard", "dims").applyInPandas(pack, "shard int, dims int, ids binary, rows binary")), shards
@@ -100,27 +105,29 @@ def packed_shards(vectors: DataFrame, id_col: str, vector_col: str, shard_rows:
 def topk(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank (from 1), neighbor_id, score."""
     packs, shards = packed_shards(vectors, id_col, vector_col, shard_rows)
-    groups = -(-shards // GROUP)
+    groups, kind = -(-shards // GROUP), element(vectors, vector_col)
 
     def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        block, dims = int(key[0]), int(key[2])
-        asked = pdf[pdf["asks"]]
-        read = lambda r: (np.frombuffer(r["ids"], np.int64), np.frombuffer(r["rows"], np.float64).reshape(-1, dims))
-        ids, queries = read(asked.iloc[0])
-        best = np.full((len(ids), k), -np.inf), np.full((len(ids), k), -1, np.int64)
+        dims, out = int(key[2]), []
+        read = lambda r: (np.frombuffer(r["ids"], np.int64), np.frombuffer(r["rows"], kind).astype(np.float64).reshape(-1, dims))
+        pdf = pdf.sort_values("shard")
         others = pdf[~pdf["asks"]]
-        others = others.iloc[np.argsort((others["shard"] != block).to_numpy(), kind="stable")]
-        for _, r in others.iterrows():
-            names, rows = read(r)
-            best = descend(queries, ids, rows, names, k, best)
-        scores, found = best
-        real = np.isfinite(scores)
-        return pd.DataFrame({"query_id": np.repeat(ids, k)[real.ravel()], "neighbor_id": found[real], "score": scores[real]})
-
-    asks = packs.select(F.col("shard").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), "dims", F.lit(True).alias("asks"), "shard", "ids", "rows")
-    told = packs.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("block"), (F.col("shard") / F.lit(GROUP)).cast("int").alias("part"), "dims", F.lit(False).alias("asks"), "shard", "ids", "rows")
-    # a block may lack a length that other shards have: then nobody asks there
-    told = told.join(packs.select(F.col("shard").alias("block"), "dims"), ["block", "dims"], "left_semi").select(asks.columns)
+        for _, asked in pdf[pdf["asks"]].iterrows():
+            ids, queries = read(asked)
+            best = np.full((len(ids), k), -np.inf), np.full((len(ids), k), -1, np.int64)
+            # its own shard first, as good a start as any
+            for _, r in others.iloc[np.argsort((others["shard"] != asked["shard"]).to_numpy(), kind="stable")].iterrows():
+                names, rows = read(r)
+                best = descend(queries, ids, rows, names, k, best)
+            scores, found = best
+            real = np.isfinite(scores)
+            out.append(pd.DataFrame({"query_id": np.repeat(ids, k)[real.ravel()], "neighbor_id": found[real], "score": scores[real]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "neighbor_id": [], "score": []}).astype({"query_id": "int64", "neighbor_id": "int64"})
+
+    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    own = (F.col("shard") / F.lit(GROUP)).cast("int")
+    asks = packs.select(own.alias("block"), every.alias("part"), "dims", F.lit(True).alias("asks"), "shard", "ids", "rows")
+    told = packs.select(every.alias("block"), own.alias("part"), "dims", F.lit(False).alias("asks"), "shard", "ids", "rows")
     found = asks.unionByName(told).groupBy("block", "part", "dims").applyInPandas(search, "query_id long, neighbor_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "neighbor_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", F.round("score", 6).alias("score"))

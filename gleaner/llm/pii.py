@@ -38,6 +38,8 @@ _CARD = re.compile(r"\d(?:[ -]?\d){12,18}(?![\w])")
 _PHONE = re.compile(r"\+?\(?\d{1,4}\)?(?:[ .-]{0,2}\(?\d{2,5}\)?){1,5}(?!\w)")
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _ACCOUNT = re.compile(r"\d(?:[ -]?[\dA-Z]){5,17}(?!\w)")
+#: Social security numbers that none is given, and dates: no phone numbers.
+_OTHER = re.compile(r"(?:\d{3}-\d\d-\d{4}|\d{4}[-.]\d\d[-.]\d\d|\d\d[-.]\d\d[-.]\d{4})(?!\d)")
 _WORD = re.compile(r"\w+")
 _LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+'-")
 
@@ -87,7 +89,7 @@ def phone(found: str) -> bool:
         return False
     if signed:
         return n == 11 if re.match(r"\+1\b", found) else 8 <= n <= 15
-    return 9 <= n <= 13 and len(re.findall(r"\d+", found)) >= 3
+    return 9 <= n <= 13 and len(re.findall(r"\d+", found)) >= 3 and not _OTHER.match(found)
 
 
 def email_at(text: str, at: int) -> tuple[int, int] | None:
@@ -180,6 +182,7 @@ def find(text: str, anchors) -> list[tuple[str, int, int]]:
             if got:
                 out.append(got)
                 done = got[2]
+                cue = -100  # a cue is for one number
             else:
                 passed = _WORD.match(text, first).end() - 1
         else:

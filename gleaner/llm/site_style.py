@@ -11,8 +11,9 @@ node reaches ``threshold`` are removed from each page, the rest is its content.
 
 Counting runs over (host, path, style) and (host, path, run) rows, so a large site
 is no single task until its tree, which is small, is put together. Pages meet the
-list of unimportant paths of their host by a join, broadcast by Spark only below
-its size limit and split by adaptive execution where one host dominates.
+lists of unimportant paths by a join: the lists are broadcast while their size,
+which is checked, is within ``BROADCAST_BYTES``; beyond, both sides are exchanged
+by host, split by adaptive execution where one host dominates.
 
 Defined results
 ---------------
@@ -42,6 +43,7 @@ from gleaner.llm.shared import checkpointed, read_table
 
 THRESHOLD = 0.75
 DECAY = 0.9
+BROADCAST_BYTES = 64 << 20
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|([^<]+|<)", re.S | re.I)
 _STYLE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
@@ -195,7 +197,9 @@ def noise(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, text, runs, removed of every page."""
     rows = pages.select(F.col("page_id").cast("string").alias("page_id"), host_of(F.col("url")).alias("host"), "html")
-    joined = rows.join(checkpointed(noise(pages, threshold)), "host", "left")
+    gone = checkpointed(noise(pages, threshold))
+    listed = gone.agg(F.sum(8 * F.size("noise") + 64)).first()[0] or 0
+    joined = rows.join(F.broadcast(gone) if listed <= BROADCAST_BYTES else gone, "host", "left")
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, frozenset] = {}

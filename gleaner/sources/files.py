@@ -73,7 +73,7 @@ def write_gold_blocks(gold: DataFrame, path: str, key: str = "page_id") -> None:
 def write_gold_blocks_tsv(gold: DataFrame, path: str, key: str = "page_id") -> None:
     """Tab-separated lines of shares and tokens, a folder per page."""
     joined = [F.array_join(c, " ").alias(c) for c in ("block_tokens", "content_tokens", "comment_tokens")]
-    rows = gold.select(key, "block_idx", F.format_number("frac_content", "0.000000").alias("frac_content"), F.format_number("frac_comments", "0.000000").alias("frac_comments"), *joined)
+    rows = gold.select(key, "block_idx", F.format_string("%.6f", "frac_content").alias("frac_content"), F.format_string("%.6f", "frac_comments").alias("frac_comments"), *joined)
     rows.repartition(key).sortWithinPartitions(key, "block_idx").drop("block_idx").write.mode("overwrite").partitionBy(key).option("emptyValue", "").csv(path, sep="\t", quote="", escape="\\")
 
 

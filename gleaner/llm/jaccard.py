@@ -21,9 +21,13 @@ Defined results
 * Documents without an id are left out. Several rows of one id with unlike texts
   are several sets, whose pairs carry that id on one side or on both; equal rows
   are one.
-* Of documents with the same set, the one of the smallest id represents all: the
-  others are paired with it (similarity 1), and only it is compared with other
-  sets. ``expand_pairs`` unfolds this to all pairs of documents.
+* The query returns all pairs of documents (``all_pairs``). Of documents with the
+  same set, the one of the smallest id is compared with other sets, and what is
+  found holds for all; between themselves they are pairs of similarity 1, so k
+  copies give k (k - 1) / 2 rows.
+* ``jaccard_join`` is the short form for groups (``keep_one``): of documents with
+  the same set, the others are paired with that of the smallest id only.
+  ``expand_pairs`` unfolds it where every id has one set.
 * A pair is reported once, ``doc_id_a`` <= ``doc_id_b``, if its similarity is at
   least ``threshold`` (ties are reported).
 """
@@ -47,6 +51,8 @@ LEAF = 256
 MARGIN = 0.12
 #: Above so many bytes of ids, candidate documents are found by a shuffled join.
 BROADCAST_BYTES = 64 << 20
+#: Documents of one set are met in parts of about so many when pairs are unfolded.
+PART = 1000
 
 _random = np.random.default_rng(20240229)
 _MULTIPLY = (_random.integers(0, 1 << 31, WIDTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -73,6 +79,11 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(out)
 
 
+def identity(hashes: np.ndarray) -> bytes:
+    """What tells a set that isn't empty from others."""
+    return mix64(np.array([len(hashes), hashes.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix64(hashes))], np.uint64)).tobytes()
+
+
 def signature(hashes: np.ndarray) -> np.ndarray:
     """MinHash values, 32 bits each, of a set that isn't empty."""
     low = (hashes >> np.uint64(32)).astype(np.uint32)
@@ -155,9 +166,8 @@ def signatures(docs: DataFrame, n: int, threshold: float, recall: float) -> Data
                 s = shingles(text, n)
                 if len(s):
                     v = signature(s)
-                    whole = mix64(np.array([len(s), s.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix64(s))], np.uint64))
                     buckets = mix64(v[places.ravel()].astype(np.uint64) ^ salt)
-                    out.append((id_, whole.tobytes(), (v & np.uint32(0xFFFF)).astype(np.uint16).tobytes(), buckets.view(np.int64).tolist()))
+                    out.append((id_, identity(s), (v & np.uint32(0xFFFF)).astype(np.uint16).tobytes(), buckets.view(np.int64).tolist()))
             yield pd.DataFrame(out, columns=["id", "whole", "values", "buckets"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id IS NOT NULL AND text IS NOT NULL")
@@ -218,7 +228,10 @@ def candidates(sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """Exact similarity of candidate pairs (a, b, bucket), each inside its bucket."""
+    """Exact similarity of candidate pairs (a, b, bucket), each inside its bucket.
+
+    One row for each pair of unlike sets of the two ids: a, b, whole_a, whole_b, jaccard.
+    """
     ends = pairs.select("bucket", F.explode(F.array("a", "b")).alias("id")).distinct()
     wanted = checkpointed(ends.groupBy("id").agg(F.collect_list("bucket").alias("in_buckets")))
     many = wanted.agg(F.sum(F.size("in_buckets") + 4)).first()[0] or 0
@@ -244,42 +257,64 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, threshold: float) -> Dat
                 if kind == 0:
                     s = np.frombuffer(blob, np.uint64)
                     if len(s):
-                        held.setdefault(a, []).append(s)
+                        held.setdefault(a, {})[identity(s)] = s
                     continue
-                best = 0.0
-                for x in held.get(a, ()):
-                    for y in held.get(b, ()):
-                        if min(len(x), len(y)) < threshold * max(len(x), len(y)):
+                for whole_a, x in held.get(a, {}).items():
+                    for whole_b, y in held.get(b, {}).items():
+                        if whole_a == whole_b or min(len(x), len(y)) < threshold * max(len(x), len(y)):
                             continue
                         both = np.concatenate([x, y])
                         both.sort(kind="stable")
                         common = np.count_nonzero(both[1:] == both[:-1])
-                        best = max(best, common / (len(x) + len(y) - common))
-                if best >= threshold:
-                    out.append((a, b, best))
-            yield pd.DataFrame(out, columns=["a", "b", "jaccard"])
+                        if (found := common / (len(x) + len(y) - common)) >= threshold:
+                            out.append((a, b, whole_a, whole_b, found))
+            yield pd.DataFrame(out, columns=["a", "b", "whole_a", "whole_b", "jaccard"])
 
     rows = members.select("bucket", F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit(0).cast("long").alias("b"), "members").unionByName(
         pairs.select("bucket", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("members"))
     )
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInPandas(compare, "a long, b long, jaccard double")
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInPandas(compare, "a long, b long, whole_a binary, whole_b binary, jaccard double")
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.5, n: int = 3, recall: float = 0.95) -> DataFrame:
-    """Pairs (doc_id_a, doc_id_b, jaccard) of similar documents; see above."""
+def compared(docs: DataFrame, threshold: float, n: int, recall: float) -> tuple[DataFrame, DataFrame]:
+    """``signatures`` of all rows, and the similar pairs of unlike sets as ``verified`` gives them."""
     ensure_checkpoint_dir(docs.sparkSession)
     made = checkpointed(signatures(docs, n, threshold, recall))
     # the representative's own signature travels; the sets are equal, so any would do
     sets = made.groupBy("whole").agg(F.min("id").alias("id"), F.min("values").alias("values"), F.min("buckets").alias("buckets"))
-    first = made.groupBy("whole").agg(F.min("id").alias("doc_id_a"), F.count("*").alias("many")).filter("many > 1")
-    copies = made.select("whole", F.col("id").alias("doc_id_b")).join(first, "whole").filter("doc_id_b <> doc_id_a").select("doc_id_a", "doc_id_b", F.lit(1.0).alias("jaccard")).distinct()
     pairs = checkpointed(candidates(sets, threshold))
-    near = verified(pairs, docs, n, threshold).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), "jaccard")
-    return near.unionByName(copies)
+    return made, verified(pairs, docs, n, threshold)
+
+
+def jaccard_join(docs: DataFrame, threshold: float = 0.5, n: int = 3, recall: float = 0.95) -> DataFrame:
+    """Pairs (doc_id_a, doc_id_b, jaccard), copies of a set with its smallest id only; see above."""
+    made, near = compared(docs, threshold, n, recall)
+    first = made.groupBy("whole").agg(F.min("id").alias("doc_id_a"), F.count("*").alias("many")).filter("many > 1")
+    copies = made.select("whole", F.col("id").alias("doc_id_b")).join(first, "whole").filter("doc_id_b <> doc_id_a").select("doc_id_a", "doc_id_b", F.lit(1.0).alias("jaccard"))
+    return near.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), "jaccard").unionByName(copies).groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
+
+
+def all_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, recall: float = 0.95) -> DataFrame:
+    """All pairs (doc_id_a, doc_id_b, jaccard) of similar documents; see above.
+
+    The number of rows grows with the square of the copies of a set.
+    """
+    made, near = compared(docs, threshold, n, recall)
+    members = checkpointed(made.select("whole", "id").distinct())
+    large = F.broadcast(members.groupBy("whole").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).filter("parts > 1"))
+    within = members.select("whole", F.col("id").alias("x"), F.lit(1.0).alias("jaccard"))
+    across = near.join(members.withColumnRenamed("whole", "whole_a"), "whole_a").select(F.col("whole_b").alias("whole"), F.col("id").alias("x"), "jaccard")
+    parts = F.coalesce("parts", F.lit(1))
+    left = within.unionByName(across).join(large, "whole", "left").withColumn("part", F.pmod(F.xxhash64("x"), parts).cast("int")).drop("parts")
+    right = members.join(large, "whole", "left").select("whole", F.col("id").alias("y"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    found = left.join(right, ["whole", "part"]).filter("jaccard < 1.0 OR x < y").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"), "jaccard")
+    if members.groupBy("id").count().filter("count > 1").limit(1).count():  # ids of several sets may meet more than once
+        found = found.groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
+    return found
 
 
 def expand_pairs(pairs: DataFrame) -> DataFrame:
-    """All pairs of documents, equal sets unfolded, from ``jaccard_join``.
+    """All pairs of documents, equal sets unfolded, from ``jaccard_join``, where every id has one set.
 
     The number of rows grows with the square of the copies of a set.
     """
@@ -333,4 +368,4 @@ def keep_one(docs: DataFrame, threshold: float = 0.5, n: int = 3) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similar pairs of all documents."""
-    return jaccard_join(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return all_pairs(read_table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -77,3 +77,39 @@ def test_components(spark):
     want = sorted((x, find(x)) for x in root if find(x) != x)
     got = records(jaccard.components(spark.createDataFrame(edges, "doc_id_a long, doc_id_b long")), "id", "root")
     assert sorted(x for x in got if x[0] != x[1]) == want
+
+
+def test_query_returns_all_pairs(spark, tmp_path):
+    rng = random.Random(3)
+    rows, n = [], 0
+    for size in [1] * 20 + [4] * 10 + [60]:
+        base = [f"v{rng.randint(0, 3000)}" for _ in range(rng.randint(30, 90))]
+        near = [f"v{rng.randint(0, 3000)}" if rng.random() < 0.03 else w for w in base]
+        for text in [base] * size + [near] * (size - 1):
+            rows.append((n := n + 1, " ".join(text)))
+    rng.shuffle(rows)
+    docs(spark, [(i, t, "s") for i, t in rows]).write.parquet(str(tmp_path / "documents.parquet"))
+    want = brute(rows)
+    made = jaccard.query(spark, str(tmp_path)).collect()
+    got = {(r.doc_id_a, r.doc_id_b): r.jaccard for r in made}
+    assert len(made) == len(got) and all(abs(want[p] - s) < 1e-9 for p, s in got.items())
+    assert len(got) >= 0.9 * len(want), (len(got), len(want))
+    assert all(p in got for p, s in want.items() if s == 1.0)
+
+
+def test_all_pairs_of_ids_with_several_sets(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PART", 2)
+    one, two, three = " ".join(f"a{i}" for i in range(30)), " ".join(f"a{i}" for i in range(28)), "x y z u v w"
+    rows = [(1, one), (1, three), (2, one), (3, two), (4, three), (4, three), (5, one), (6, one), (6, two)]
+    got = {(a, b): s for a, b, s in records(jaccard.all_pairs(docs(spark, [(i, t, "s") for i, t in rows])), "doc_id_a", "doc_id_b", "jaccard")}
+    want = {}
+    for (i, a), (j, b) in itertools.combinations(rows, 2):
+        x, y = grams(a), grams(b)
+        if (i != j or x != y) and (s := len(x & y) / len(x | y)) >= 0.5:
+            want[min(i, j), max(i, j)] = max(s, want.get((min(i, j), max(i, j)), 0))
+    assert got.keys() == want.keys() and all(abs(want[p] - s) < 1e-9 for p, s in got.items())
+
+
+def test_all_pairs_awkward(spark):
+    assert records(jaccard.all_pairs(docs(spark, AWKWARD)), "doc_id_a", "doc_id_b", "jaccard") == [(6, 7, 1.0)]
+    assert jaccard.all_pairs(docs(spark, AWKWARD).limit(0)).count() == 0

@@ -6,7 +6,9 @@ sequences of children seen there, and the text found there. The importance of an
 element is the entropy, to the base of the number of pages m, of its style nodes
 (how many ways it is presented) combined with the importance of what is below it;
 that of text is one minus the mean entropy of its runs over the pages: a run on
-every page tells nothing, one on a single page everything. Branches in which no
+every page tells nothing, one on a single page everything. To the base of few pages
+that falls fast, so text counts as fully important unless its runs are on more than
+two pages in the geometric mean, or all on both of two. Branches in which no
 node reaches ``threshold`` are removed from each page, the rest is its content.
 
 Counting runs over (host, path, style) and (host, path, run) rows, so a large site
@@ -20,8 +22,8 @@ Defined results
 * One row per page row: page_id, host, text (kept runs, a line each), runs,
   removed. Scripts, styles, comments and the head's metadata are no content.
 * A null or empty html gives an empty text. A page without a host, or alone on
-  it, keeps everything. Rows without a page_id are pages too; repeated rows count
-  as pages of their own, so a page that is repeated becomes boilerplate.
+  it, keeps everything. Rows without a page_id are pages too. Rows of equal html on
+  a host count as one page of it, so copies of a page don't make it boilerplate.
 * Broken HTML is read as far as it goes: an open ``p`` or ``li`` ends at the next
   block, an end tag closes what is open inside, one without start is ignored.
 """
@@ -159,6 +161,16 @@ def unimportant(pages: dict[int, int], runs: dict[int, float], styles: dict[int,
     return [p for p, b in best.items() if b < threshold]
 
 
+def text_importance(mean: float, m: int) -> float:
+    """Of a path on m pages; mean: of the logarithm of the pages of its runs.
+
+    Text that is hardly repeated is no boilerplate; from 17 pages on, nothing that THRESHOLD cuts is.
+    """
+    if m <= 1 or mean < np.log(2) - 1e-9 or (m > 2 and mean < np.log(2) + 1e-9):
+        return 1.0
+    return 1.0 - mean / np.log(m)
+
+
 def host_of(url):
     return F.nullif(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
@@ -168,13 +180,19 @@ def noise(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     def observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(host, *o) for host, html in zip(b["host"], b["html"]) for o in observations(parse(html))]
-            yield pd.DataFrame(out, columns=["host", "path", "kind", "value", "children"])
+            out = [(host, *o, share) for host, html, share in zip(b["host"], b["html"], b["share"]) for o in observations(parse(html))]
+            yield pd.DataFrame(out, columns=["host", "path", "kind", "value", "children", "share"])
 
     source = pages.select(host_of(F.col("url")).alias("host"), "html").filter("host IS NOT NULL AND html IS NOT NULL")
-    seen = source.mapInPandas(observe, "host string, path long, kind int, value long, children array<long>")
+    source = source.withColumn("page", F.unhex(F.sha2("html", 256)))
+    copied = checkpointed(source.groupBy("host", "page").agg(F.count("*").alias("copies")).filter("copies > 1"))
+    listed = copied.agg(F.sum(F.length("host") + 64)).first()[0] or 0
+    source = source.join(F.broadcast(copied) if listed <= BROADCAST_BYTES else copied, ["host", "page"], "left")
+    # each of k copies is a k-th of a page
+    source = source.select("host", "html", (1 / F.coalesce("copies", F.lit(1))).alias("share"))
+    seen = source.mapInPandas(observe, "host string, path long, kind int, value long, children array<long>, share double")
     # children follow from the value
-    counts = seen.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n"), F.max("children").alias("children"))
+    counts = seen.groupBy("host", "path", "kind", "value").agg(F.round(F.sum("share")).cast("long").alias("n"), F.max("children").alias("children"))
     counts = checkpointed(counts)
     alone = counts.filter("kind = 2").groupBy("host", "path").agg(F.avg(F.log("n")).alias("mean"))
     there = counts.filter("kind = 0").select("host", "path", F.col("n").alias("m"))
@@ -186,7 +204,7 @@ def noise(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         for path, m, mean, shown_ in zip(pdf["path"], pdf["m"], pdf["mean"], pdf["styles"]):
             pages_[path] = m
             if not pd.isna(mean):
-                runs[path] = 1.0 if m <= 1 else 1.0 - mean / np.log(m)
+                runs[path] = text_importance(mean, m)
             if shown_ is not None:
                 styles[path] = sorted((s["n"], list(s["children"])) for s in shown_)
         return pd.DataFrame({"host": [key[0]], "noise": [sorted(unimportant(pages_, runs, styles, threshold))]})

@@ -1,5 +1,7 @@
 """Site style trees on a small site."""
 
+import pytest
+
 from gleaner.llm import site_style
 
 FRAME = '<html><head><title>x</title></head><body><div class="nav"><ul><li><a href="/">Home</a></li><li>About</li></ul></div><div id="main"><h1>{0}</h1><p>{1}</p></div><div class="foot"><p>All rights reserved</p></div></body></html>'
@@ -28,3 +30,36 @@ def test_awkward(spark):
     assert found[1] == found[2] == "" and found[3] == "no host" and found[6] == "" and found[4].startswith("a < b")
     assert found[7] == ""  # on every page: boilerplate
     assert site_style.extract(pages(spark, rows).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("hosts", [(1, 2), (3, 2), (5, 3), (12, 10)])
+def test_copies_of_pages_keep_their_content(spark, hosts):
+    n, copies = hosts
+    rows = [(i * 100 + c, "http://site.example/p", FRAME.format(f"Title {i}", f"story number {i}")) for i in range(n) for c in range(copies)]
+    got = site_style.extract(pages(spark, rows)).collect()
+    assert len(got) == n * copies
+    for r in got:
+        i = r.page_id // 100
+        assert r.text.split("\n")[-2:] == [f"Title {i}", f"story number {i}"] if n > 1 else "story number 0" in r.text
+        assert ("reserved" in r.text) == (n == 1)
+    assert site_style.extract(pages(spark, rows).limit(0)).count() == 0
+
+
+def test_one_copy_on_a_small_host(spark):
+    def texts(numbers):
+        got = site_style.extract(pages(spark, [(k, "http://s.example/", FRAME.format(f"Title {i}", f"story {i}")) for k, i in enumerate(numbers)]))
+        return [r.text.split("\n") for r in sorted(got.collect(), key=lambda r: r.page_id)]
+
+    for numbers in ([0, 0, 1], [0, 0, 1, 1, 2]):
+        assert texts(numbers) == [[f"Title {i}", f"story {i}"] for i in numbers]
+
+
+def test_shared_text_on_a_small_host_takes_no_unlike_text_along(spark):
+    page = '<body><div class="nav"><p>Home</p></div><div id="main"><h1>{0}</h1><p>{1}</p><p>{2}</p></div></body>'
+    two = [(i, "http://two.example/", page.format(f"Title {i}", f"story {i}", "See you soon")) for i in range(2)]
+    three = [(10 + i, "http://three.example/", page.format("Same" if i else "Other", f"story {i}", f"end {i}")) for i in range(3)]
+    got = {r.page_id: r.text.split("\n") for r in site_style.extract(pages(spark, two + three)).collect()}
+    for i in range(2):
+        assert got[i] == [f"Title {i}", f"story {i}", "See you soon"]  # 0.667 for the paragraphs
+    for i in range(3):
+        assert got[10 + i] == ["Same" if i else "Other", f"story {i}", f"end {i}"]  # 0.685 for the titles

@@ -17,6 +17,8 @@ Defined results
 * Null texts have no blob. The empty text is a blob without findings. A null
   source or id is written as an empty part of the path; repeated rows of one path
   and text are one version. Other columns are ignored.
+* A secret is taken to its end, however long; a private key from its first line
+  to its last, or as far as its code goes.
 * Findings of a rule don't overlap; those of different rules may.
 """
 
@@ -52,16 +54,22 @@ class Rule(NamedTuple):
         return f"{self.name}@{self.version}"
 
 
+#: A key's name, read whole so that long words are read once, and what may stand between it and the value.
+_TOKEN = r"(?<![a-z0-9_-])(?=[a-z0-9_-]*(?:token|secret|api[_-]?key))[a-z0-9_-]++"
+_PASSWORD = r"(?<![a-z0-9_-])(?=(?:[a-z0-9_-]*[_-])?(?:password|passwd|pwd))[a-z0-9_-]++"
+_TO_VALUE = r"(?:\\?[\"'])?\s*+[=:]\s*+(?:\\?[\"'])?"
+_KEY_END = r"-----END [A-Z ]{0,20}PRIVATE KEY-----"
+
 RULES = (
     Rule("access_key_id", 1, ("akia", "asia"), r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9])"),
-    Rule("password_assignment", 1, ("password", "passwd", "pwd"), r"(?i)(?<![a-z0-9])(?:password|passwd|pwd)\s{0,3}[=:]\s{0,3}[\"']?([^\s\"']{8,128})"),
-    Rule("token_assignment", 1, ("token", "secret", "api_key", "apikey", "api-key"), r"(?i)(?:token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_.=-]{16,200})"),
-    Rule("private_key", 1, ("private key",), r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
-    Rule("git_token", 1, ("ghp_", "gho_", "ghs_", "github_pat_"), r"(?<![A-Za-z0-9_])(gh[pos]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{40,90})(?![A-Za-z0-9_])"),
-    Rule("chat_token", 1, ("xox",), r"(?<![A-Za-z0-9])(xox[abprs]-[A-Za-z0-9-]{10,80})"),
+    Rule("password_assignment", 2, ("password", "passwd", "pwd"), r"(?i)" + _PASSWORD + _TO_VALUE + r"([^\s\"']{8,}+)"),
+    Rule("token_assignment", 2, ("token", "secret", "api_key", "apikey", "api-key"), r"(?i)" + _TOKEN + _TO_VALUE + r"([A-Za-z0-9+/_.=-]{16,}+)"),
+    Rule("private_key", 2, ("private key",), r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:(?:(?!-----)[\s\S])*+" + _KEY_END + r"|(?:\s*+[A-Za-z0-9+/=]{40,}+)*+)"),
+    Rule("git_token", 2, ("ghp_", "gho_", "ghs_", "github_pat_"), r"(?<![A-Za-z0-9_])(gh[pos]_[A-Za-z0-9]{36,}+|github_pat_[A-Za-z0-9_]{40,}+)(?![A-Za-z0-9_])"),
+    Rule("chat_token", 2, ("xox",), r"(?<![A-Za-z0-9])(xox[abprs]-[A-Za-z0-9-]{10,}+)"),
     Rule("json_web_token", 1, ("eyj",), r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})"),
-    Rule("bearer_header", 1, ("bearer",), r"(?i)bearer\s+([A-Za-z0-9._~+/=-]{20,200})"),
-    Rule("url_credentials", 1, ("://",), r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:([^\s/:@]{3,64})@"),
+    Rule("bearer_header", 2, ("bearer",), r"(?i)bearer\s+([A-Za-z0-9._~+/=-]{20,}+)"),
+    Rule("url_credentials", 2, ("://",), r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]*+:([^\s/:@]{3,}+)@"),
 )
 
 

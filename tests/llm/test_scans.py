@@ -66,3 +66,35 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     third = docs(spark, [(5, "password = abcdefgh1", "u")])
     assert records(secret_scan.scan(third, ledger, new), "doc_id", "rule") == [(5, "password_assignment")]
     assert ledger.scanned().count() == 6 + len(new) - len(old) and ledger.findings().count() == 2
+
+
+LONG = "".join(chr(97 + i * i % 23) for i in range(500))
+KEY = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n" + "QUJD" * 16 + "\n-----END RSA PRIVATE KEY-----"
+WHOLE = [
+    *[(rule, before + LONG + after, LONG) for rule, before, after in (
+        ("token_assignment", "token=", ""), ("token_assignment", "token        =    ", " x"), ("token_assignment", '{"api_key": "', '", "b": 1}'),
+        ("token_assignment", "aws_secret_access_key = ", "\n"), ("token_assignment", r'{\"secret\": \"', r'\"}'), ("password_assignment", "password: ", " x"),
+        ("password_assignment", '"db_password_old" : "', '"'), ("bearer_header", "Authorization: Bearer ", "\n"), ("url_credentials", "ftp://u:", "@h/x"), ("url_credentials", "ftp://" + LONG + ":", "@h/x"),
+    )],
+    ("git_token", f"x github_pat_{LONG} y", f"github_pat_{LONG}"), ("git_token", f"ghp_{LONG}", f"ghp_{LONG}"), ("chat_token", f"xoxb-{LONG}.", f"xoxb-{LONG}"),
+    ("private_key", f"a {KEY} b", KEY), ("private_key", "-----BEGIN PRIVATE KEY-----\n" + "QUJD" * 16 + "\nand more", "-----BEGIN PRIVATE KEY-----\n" + "QUJD" * 16),
+]
+
+
+@pytest.mark.parametrize("rule, text, secret", WHOLE)
+def test_secrets_are_taken_whole(rule, text, secret):
+    import re
+
+    rules = [(r.name, r.version, r.anchors, re.compile(r.pattern)) for r in secret_scan.RULES if r.name == rule]
+    assert [(text[s:e], h) for _, _, s, e, h in secret_scan.scan_text(text, rules)] == [(secret, hashlib.sha256(secret.encode()).hexdigest())]
+
+
+def test_secret_patterns_read_long_words_once():
+    import re
+    import time
+
+    rules = [(r.name, r.version, r.anchors, re.compile(r.pattern)) for r in secret_scan.RULES]
+    began = time.process_time()
+    for word in ("token", "pwd_", "token ", "bearer ", "-----BEGIN PRIVATE KEY-----", "github_pat_", "a://b:c", "eyJ"):
+        secret_scan.scan_text(word * 100_000, rules)
+    assert time.process_time() - began < 60

@@ -4,7 +4,9 @@ An Aho-Corasick automaton finds anchors in one pass over a text: at-signs, URL
 schemes, cue words of accounts, and digits. From an anchor a parser of that kind
 expands to both sides and validates what it finds: e-mail addresses, web
 addresses, IP addresses, phone numbers, card numbers (Luhn), IBANs (mod 97), US
-social security numbers, and account numbers after a cue word. What a parser has
+social security numbers, and account numbers after a cue word. A cue holds to the
+end of its clause (as part of a longer word, for 24 characters) or to the first number
+that it is for; such a number has 6 to 34 digits and capitals, two digits at least. What a parser has
 taken isn't parsed again.
 
 Defined results
@@ -37,7 +39,16 @@ _SSN = re.compile(r"(\d{3})-(\d{2})-(\d{4})(?![\w-])")
 _CARD = re.compile(r"\d(?:[ -]?\d){12,18}(?![\w])")
 _PHONE = re.compile(r"\+?\(?\d{1,4}\)?(?:[ .-]{0,2}\(?\d{2,5}\)?){1,5}(?!\w)")
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-_ACCOUNT = re.compile(r"\d(?:[ -]?[\dA-Z]){5,17}(?!\w)")
+_ACCOUNT = re.compile(r"\d(?:[ -]?[\dA-Z]){5,33}(?!\w)")
+#: An account number that begins with letters; groups after the first have a digit.
+_LETTERED = re.compile(r"[A-Z]+(?:-(?=\d))?[\dA-Z]+(?:[ -](?=[A-Z]*\d)[\dA-Z]+(?!\w))*(?!\w)")
+_DATE = re.compile(r"(?:\d{4}[-.]\d\d[-.]\d\d|\d\d[-.]\d\d[-.]\d{4})(?!\d)")
+#: Where a clause ends; after short forms a full stop doesn't end it.
+_CLAUSE_END = re.compile(r"[;!?\n]|(?<!\b[Nn]o)(?<!\b[Nn]r)(?<!\b[Nn]um)(?<!\b[Aa]cct)(?<!\b[Rr]ef)(?<!\b[Tt]el)\.(?=\s|\Z)")
+#: A number so close to a cue belongs to it, whatever is between.
+NEAR = 24
+#: What numbers other than accounts a cue may stand for; one of these or an account uses it up.
+_MEANT = {"ssn": "ssn", "iban": "iban", "account": "iban", "acct": "iban", "konto": "iban", "compte": "iban", "cuenta": "iban"}
 #: Social security numbers that none is given, and dates: no phone numbers.
 _OTHER = re.compile(r"(?:\d{3}-\d\d-\d{4}|\d{4}[-.]\d\d[-.]\d\d|\d\d[-.]\d\d[-.]\d{4})(?!\d)")
 _WORD = re.compile(r"\w+")
@@ -79,6 +90,8 @@ def heads(found: str) -> list[str]:
     while found:
         out.append(found)
         found = found[: max(found.rfind(c) for c in " .-(") + 1].rstrip(" .-(")
+        if found.endswith(")") and found.count(")") > found.count("("):  # it closes what is around the number
+            found = found[:-1]
     return out
 
 
@@ -124,8 +137,29 @@ def url_at(text: str, at: int) -> tuple[int, int] | None:
     return (start, end) if end > at + 3 and text[at + 3].isalnum() else None
 
 
-def number_at(text: str, at: int, done: int, cued: bool) -> tuple[str, int, int] | None:
-    """Kind and place of a number whose first digit is at ``at``."""
+def account_at(text: str, at: int, least: int) -> tuple[str, int, int] | None:
+    """The account number, from ``least`` on, whose first digit is at ``at``."""
+    start = at
+    while start > least and text[start - 1].isascii() and text[start - 1].isupper():
+        start -= 1
+    if start == at and at - 1 > least and text[at - 1] == "-" and text[at - 2].isascii() and text[at - 2].isupper():
+        start -= 1
+        while start > least and text[start - 1].isascii() and text[start - 1].isupper():
+            start -= 1
+    if start > least and (text[start - 1].isalnum() or text[start - 1] == "_"):
+        return None
+    if start == at:
+        m = None if _DATE.match(text, at) else _ACCOUNT.match(text, at)
+    else:
+        m = _LETTERED.match(text, start)
+        size = sum(c.isalnum() for c in m.group()) if m else 0
+        if not 6 <= size <= 34 or sum(c.isdigit() for c in m.group()) < 2:
+            m = None
+    return ("account", start, m.end()) if m else None
+
+
+def number_at(text: str, at: int, done: int, cued: int | None) -> tuple[str, int, int] | None:
+    """Kind and place of a number whose first digit is at ``at``; cued: the end of the cue it follows, if any."""
     before = text[at - 1] if at else " "
     if before.isalnum() or before == "_":
         head = text[max(0, at - 2) : at]
@@ -137,7 +171,7 @@ def number_at(text: str, at: int, done: int, cued: bool) -> tuple[str, int, int]
                 m = _IBAN.match(text, at - 2, at - 2 + cut) if cut > 14 else None
             if m:
                 return "iban", m.start(), m.end()
-        return None
+        return None if cued is None else account_at(text, at, max(done, cued))
     m = _IP.match(text, at)
     if m and before != "." and all(int(x) < 256 for x in m.groups()):
         return "ip", at, m.end()
@@ -158,31 +192,34 @@ def number_at(text: str, at: int, done: int, cued: bool) -> tuple[str, int, int]
     for part in heads(m.group()) if m else ():
         if phone(part):
             return "phone", start, start + len(part)
-    if cued:
-        m = _ACCOUNT.match(text, at)
-        if m:
-            return "account", at, m.end()
-    return None
+    return None if cued is None else account_at(text, at, max(done, cued))
 
 
 def find(text: str, anchors) -> list[tuple[str, int, int]]:
     """(kind, start, end) of everything found in a text, in order."""
     out: list[tuple[str, int, int]] = []
-    done, passed, cue = 0, -1, -100
+    done, passed, clause = 0, -1, -1
+    cue, reach, meant = 0, -1, None  # where the last cue ends, how far it holds, the kind it may stand for
     for last, (kind, size) in anchors.iter(text):
         first = last - size + 1
         if first < done:
             continue
         if kind == "cue":
-            cue = last + 1
+            cue, reach, meant = last + 1, last + 1 + NEAR, _MEANT.get(text[first : last + 1].lower())
+            if not (first and text[first - 1].isalnum()) and not text[cue : cue + 1].isalnum():
+                if clause < cue:
+                    m = _CLAUSE_END.search(text, cue)
+                    clause = m.start() if m else len(text)
+                reach = max(reach, clause)
         elif kind == "digit":
             if first <= passed:
                 continue
-            got = number_at(text, first, done, first - cue <= 24)
+            got = number_at(text, first, done, cue if first <= reach else None)
             if got:
                 out.append(got)
                 done = got[2]
-                cue = -100  # a cue is for one number
+                if got[0] in ("account", meant):
+                    reach = -1  # a cue is for one number
             else:
                 passed = _WORD.match(text, first).end() - 1
         else:

@@ -98,3 +98,21 @@ def test_secret_patterns_read_long_words_once():
     for word in ("token", "pwd_", "token ", "bearer ", "-----BEGIN PRIVATE KEY-----", "github_pat_", "a://b:c", "eyJ"):
         secret_scan.scan_text(word * 100_000, rules)
     assert time.process_time() - began < 60
+
+
+CUED = {
+    "passport C01X00T47": [("account", "C01X00T47")], "Reisepass L01X00T47, Berlin": [("account", "L01X00T47")], "policy no AB1234567.": [("account", "AB1234567")],
+    "account GB12345678": [("account", "GB12345678")], "policy no AB-1234567 OF MAY": [("account", "AB-1234567")], "passport number: X1234567": [("account", "X1234567")],
+    "Account holder, reference number of contract: 12345678": [("account", "12345678")],
+    "account (tel +1 212 555-1234) 12345678": [("phone", "+1 212 555-1234"), ("account", "12345678")],
+    "account opened on 2024-01-02 under 12345678 or 87654321": [("account", "12345678")],
+    "Acct. No. of the holder that was named above: 12345678": [("account", "12345678")], "account 12345678901234567890": [("account", "12345678901234567890")],
+    "we closed the account long before they came. After that 12345678 went": [], "accounting for all of the other things seen 12345678": [],
+    "C01X00T47 and AB1234567": [], "account ABCDEFGH and USER_12345": [],
+    "iban DE89 3704 0044 0532 0130 00 then 12345678": [("iban", "DE89 3704 0044 0532 0130 00")],
+}
+
+
+@pytest.mark.parametrize("text", CUED)
+def test_numbers_after_a_cue(text):
+    assert [(k, text[s:e]) for k, s, e in pii.find(text, pii.automaton())] == CUED[text]

@@ -8,27 +8,32 @@ document goes down to the child named by its value there, so that similar
 documents stay together. Buckets of at most ``LEAF`` documents are compared pair
 by pair. In larger ones, documents that resemble the whole bucket (copies that no
 split can part) are compared with all of it and leave; the rest is split further.
-Several runs with other positions are made, as many as the target recall needs.
-Candidates are then verified exactly on the n-gram sets.
+So many positions are drawn that the share of pairs at the threshold that stay
+together doesn't fall with the depth (``survival``), and as many runs with other
+positions are made as the target recall needs. Candidates are then verified
+exactly on the n-gram sets.
 
-The first level of the tree is one exchange; the rest of a subtree runs inside
-one task. Only signatures travel, texts of candidate documents excepted.
+The first levels of the tree are exchanges, the rest of a subtree runs inside one
+task. A bucket of more than ``HOT`` documents is split by another exchange, at
+most ``LEVELS`` times; what is as large then resembles itself, and its blocks of
+``HOT`` documents meet two by two. So no task holds more than two blocks. Only
+signatures travel, texts of candidate documents excepted.
 
 Defined results
 ---------------
 * A text of fewer than ``n`` words is one n-gram, all its words. Null texts and
   texts without a word have no set and pair with nothing.
 * Documents without an id are left out. Several rows of one id with unlike texts
-  are several sets, whose pairs carry that id on one side or on both; equal rows
-  are one.
-* The query returns all pairs of documents (``all_pairs``). Of documents with the
-  same set, the one of the smallest id is compared with other sets, and what is
-  found holds for all; between themselves they are pairs of similarity 1, so k
-  copies give k (k - 1) / 2 rows.
-* ``jaccard_join`` is the short form for groups (``keep_one``): of documents with
-  the same set, the others are paired with that of the smallest id only.
-  ``expand_pairs`` unfolds it where every id has one set.
-* A pair is reported once, ``doc_id_a`` <= ``doc_id_b``, if its similarity is at
+  are several sets of one document, never paired with one another; equal rows are
+  one.
+* ``classes``, which the query returns, has one row per id: the class (the
+  smallest id that a chain of similar documents leads to; its own without any) and
+  the number of links. Links are counted by sets: for each set of the document,
+  the other documents with the same set and the documents of every similar set.
+* ``jaccard_join`` has the pairs of unlike sets, between the documents of smallest
+  id that have them, and pairs of similarity 1 between such a document and the
+  others of its set: all links, copies not unfolded.
+* A pair is reported once, ``doc_id_a`` < ``doc_id_b``, if its similarity is at
   least ``threshold`` (ties are reported).
 """
 
@@ -36,12 +41,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from gleaner.llm.shared import checkpointed, ensure_checkpoint_dir, read_table
 
@@ -51,8 +56,9 @@ LEAF = 256
 MARGIN = 0.12
 #: Above so many bytes of ids, candidate documents are found by a shuffled join.
 BROADCAST_BYTES = 64 << 20
-#: Documents of one set are met in parts of about so many when pairs are unfolded.
-PART = 1000
+#: Documents of a bucket that one task may hold; twice as many where blocks meet.
+HOT = 4096
+LEVELS = 3
 
 _random = np.random.default_rng(20240229)
 _MULTIPLY = (_random.integers(0, 1 << 31, WIDTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -71,7 +77,7 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     words = text.lower().encode("utf-8", "replace").split() if text else []
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(crc32, words), np.uint64, len(words))
+    h = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
     k = min(n, len(words))
     out = np.full(len(words) - k + 1, k, np.uint64)
     for i in range(k):
@@ -94,18 +100,25 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def branches(threshold: float) -> int:
-    """Positions drawn at a node."""
-    return max(1, math.ceil(1 / threshold))
+    """Positions drawn at a node: one more than keep a pair at the threshold together on the average."""
+    return math.ceil(1 / threshold) + 1
 
 
-def runs_for(threshold: float, recall: float, depth: int = 2) -> int:
-    """Runs after which a pair at the threshold is found with ``recall``.
+def survival(threshold: float) -> float:
+    """The chance that a pair at the threshold meets in a leaf, at any depth.
 
-    A pair survives a level if one of the positions agrees and it survives there.
+    It does if one of the drawn positions agrees and it does so below: the fixed
+    point of p = 1 - (1 - threshold p) ** branches, to which p falls with the depth.
     """
     p = 1.0
-    for _ in range(depth):
+    for _ in range(200):
         p = 1 - (1 - threshold * p) ** branches(threshold)
+    return p
+
+
+def runs_for(threshold: float, recall: float) -> int:
+    """Runs after which a pair at the threshold is found with ``recall``."""
+    p = survival(threshold)
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - p))) if p < 1 else 1
 
 
@@ -119,15 +132,18 @@ def similar_in(values: np.ndarray, rows: np.ndarray, others: np.ndarray, least:
     return rows[keep], others[keep]
 
 
+def each_other(values: np.ndarray, rows: np.ndarray, least: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Similar pairs among ``rows``, compared pair by pair."""
+    return [similar_in(values, rows[:-lag], rows[lag:], least) for lag in range(1, len(rows))]
+
+
 def join_bucket(values: np.ndarray, rows: np.ndarray, least: float, fanout: int, seed: int, depth: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
     """Candidate pairs (row numbers) in one bucket, by recursion."""
     out, n = [], len(rows)
     if n < 2:
         return out
-    if n <= LEAF or depth > 40:
-        for lag in range(1, n):
-            out.append(similar_in(values, rows[:-lag], rows[lag:], least))
-        return out
+    if n <= LEAF:
+        return each_other(values, rows, least)
     own = values[rows]
     close = np.zeros(n)
     for i in range(WIDTH):
@@ -146,8 +162,8 @@ def join_bucket(values: np.ndarray, rows: np.ndarray, least: float, fanout: int,
         order = np.argsort(values[rows, i], kind="stable")
         cuts = np.flatnonzero(np.diff(values[rows[order], i])) + 1
         for part in np.split(rows[order], cuts):
-            if len(part) == n and depth > 20:  # nothing parts them
-                return out + [similar_in(values, *(part[x] for x in np.triu_indices(len(part), 1)), least)]
+            if len(part) == len(rows):  # nothing parts them here
+                return out + each_other(values, part, least)
             out += join_bucket(values, part, least, fanout, (seed * 1000003 + int(i) * 65537 + int(values[part[0], i])) & 0x7FFFFFFF, depth + 1)
     return out
 
@@ -174,6 +190,37 @@ def signatures(docs: DataFrame, n: int, threshold: float, recall: float) -> Data
     return rows.mapInPandas(sketch, "id long, whole binary, values binary, buckets array<long>")
 
 
+def split(sets: DataFrame, fanout: int) -> DataFrame:
+    """id, values, bucket: the first levels of the tree, no bucket above two blocks of ``HOT``.
+
+    Children of a large bucket are named by its number and a value at positions
+    drawn by that number.
+    """
+    left, done = sets.select("id", "values", F.explode("buckets").alias("bucket")), []
+    for level in range(LEVELS + 1):
+        large = checkpointed(left.groupBy("bucket").agg(F.count("*").alias("many")).filter(F.col("many") > HOT))
+        if not large.limit(1).count():
+            return _all([*done, left])
+        large = F.broadcast(large) if 16 * large.count() <= BROADCAST_BYTES else large
+        done.append(left.join(large, "bucket", "left_anti"))
+        left = left.join(large, "bucket")
+        if level < LEVELS:
+            place = lambda k: F.pmod(F.xxhash64("bucket", F.lit(k)), F.lit(WIDTH)).cast("int")
+            child = F.array(*[F.xxhash64("bucket", F.lit(k), F.substring(F.col("values"), 2 * place(k) + 1, F.lit(2))) for k in range(fanout)])
+            left = left.select("id", "values", F.explode(F.array_distinct(child)).alias("bucket"))
+    blocks = F.ceil(F.col("many") / HOT).cast("int")
+    own = left.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("id"), blocks).cast("int")})
+    met = own.select("id", "values", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return _all([*done, met.select("id", "values", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"))])
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def candidates(sets: DataFrame, threshold: float) -> DataFrame:
     """Candidate pairs (a, b) of representatives with a bucket that holds both."""
     least, fanout = max(threshold - MARGIN, 1 / WIDTH), branches(threshold)
@@ -222,8 +269,7 @@ def candidates(sets: DataFrame, threshold: float) -> DataFrame:
         if held:
             yield joined(pd.concat(held, ignore_index=True))
 
-    split = sets.select("id", "values", F.explode("buckets").alias("bucket"))
-    met = split.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(inside, "a long, b long, bucket long")
+    met = split(sets, fanout).repartition("bucket").sortWithinPartitions("bucket").mapInPandas(inside, "a long, b long, bucket long")
     return met.groupBy("a", "b").agg(F.min("bucket").alias("bucket"))
 
 
@@ -281,7 +327,7 @@ def compared(docs: DataFrame, threshold: float, n: int, recall: float) -> tuple[
     ensure_checkpoint_dir(docs.sparkSession)
     made = checkpointed(signatures(docs, n, threshold, recall))
     # the representative's own signature travels; the sets are equal, so any would do
-    sets = made.groupBy("whole").agg(F.min("id").alias("id"), F.min("values").alias("values"), F.min("buckets").alias("buckets"))
+    sets = checkpointed(made.groupBy("whole").agg(F.min("id").alias("id"), F.min("values").alias("values"), F.min("buckets").alias("buckets")).drop("whole"))
     pairs = checkpointed(candidates(sets, threshold))
     return made, verified(pairs, docs, n, threshold)
 
@@ -289,44 +335,29 @@ def compared(docs: DataFrame, threshold: float, n: int, recall: float) -> tuple[
 def jaccard_join(docs: DataFrame, threshold: float = 0.5, n: int = 3, recall: float = 0.95) -> DataFrame:
     """Pairs (doc_id_a, doc_id_b, jaccard), copies of a set with its smallest id only; see above."""
     made, near = compared(docs, threshold, n, recall)
+    return _edges(made, near).groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
+
+
+def _edges(made: DataFrame, near: DataFrame) -> DataFrame:
     first = made.groupBy("whole").agg(F.min("id").alias("doc_id_a"), F.count("*").alias("many")).filter("many > 1")
     copies = made.select("whole", F.col("id").alias("doc_id_b")).join(first, "whole").filter("doc_id_b <> doc_id_a").select("doc_id_a", "doc_id_b", F.lit(1.0).alias("jaccard"))
-    return near.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), "jaccard").unionByName(copies).groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
+    return near.filter("a <> b").select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), "jaccard").unionByName(copies)
 
 
-def all_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, recall: float = 0.95) -> DataFrame:
-    """All pairs (doc_id_a, doc_id_b, jaccard) of similar documents; see above.
-
-    The number of rows grows with the square of the copies of a set.
-    """
+def classes(docs: DataFrame, threshold: float = 0.5, n: int = 3, recall: float = 0.95) -> DataFrame:
+    """One row (doc_id, class_id, n_links) per id; see above."""
     made, near = compared(docs, threshold, n, recall)
-    members = checkpointed(made.select("whole", "id").distinct())
-    large = F.broadcast(members.groupBy("whole").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).filter("parts > 1"))
-    within = members.select("whole", F.col("id").alias("x"), F.lit(1.0).alias("jaccard"))
-    across = near.join(members.withColumnRenamed("whole", "whole_a"), "whole_a").select(F.col("whole_b").alias("whole"), F.col("id").alias("x"), "jaccard")
-    parts = F.coalesce("parts", F.lit(1))
-    left = within.unionByName(across).join(large, "whole", "left").withColumn("part", F.pmod(F.xxhash64("x"), parts).cast("int")).drop("parts")
-    right = members.join(large, "whole", "left").select("whole", F.col("id").alias("y"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    found = left.join(right, ["whole", "part"]).filter("jaccard < 1.0 OR x < y").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"), "jaccard")
-    if members.groupBy("id").count().filter("count > 1").limit(1).count():  # ids of several sets may meet more than once
-        found = found.groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
-    return found
-
-
-def expand_pairs(pairs: DataFrame) -> DataFrame:
-    """All pairs of documents, equal sets unfolded, from ``jaccard_join``, where every id has one set.
-
-    The number of rows grows with the square of the copies of a set.
-    """
-    star = pairs.filter("jaccard = 1.0").select(F.col("doc_id_a").alias("rep"), F.col("doc_id_b").alias("id"))
-    own = pairs.select(F.explode(F.array("doc_id_a", "doc_id_b")).alias("rep")).distinct().withColumn("id", F.col("rep"))
-    members = star.unionByName(own.join(star.select(F.col("id").alias("rep")), "rep", "left_anti")).distinct()
-    near = pairs.filter("jaccard < 1.0")
-    a = members.select(F.col("rep").alias("doc_id_a"), F.col("id").alias("x"))
-    b = members.select(F.col("rep").alias("doc_id_b"), F.col("id").alias("y"))
-    across = near.join(a, "doc_id_a").join(b, "doc_id_b").select("x", "y", "jaccard")
-    within = members.alias("m").join(members.alias("o"), (F.col("m.rep") == F.col("o.rep")) & (F.col("m.id") < F.col("o.id"))).select(F.col("m.id").alias("x"), F.col("o.id").alias("y"), F.lit(1.0).alias("jaccard"))
-    return across.unionByName(within).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"), "jaccard").distinct()
+    near = checkpointed(near.filter("a <> b"))
+    members = made.select("whole", "id").distinct()
+    sizes = members.groupBy("whole").agg(F.count("*").alias("size"))
+    ways = near.select(F.col("whole_a").alias("from"), F.col("whole_b").alias("whole")).unionByName(near.select(F.col("whole_b").alias("from"), F.col("whole_a").alias("whole")))
+    across = ways.distinct().join(sizes, "whole").select(F.col("from").alias("whole"), "size")
+    links = sizes.select("whole", (F.col("size") - 1).alias("size")).unionByName(across).groupBy("whole").agg(F.sum("size").alias("links")).filter("links > 0")
+    linked = members.join(links, "whole").groupBy("id").agg(F.sum("links").alias("links"))
+    roots = components(_edges(made, near))
+    ids = docs.select(F.col("doc_id").cast("long").alias("id")).filter("id IS NOT NULL").distinct()
+    found = ids.join(linked, "id", "left").join(roots, "id", "left")
+    return found.select(F.col("id").alias("doc_id"), F.coalesce("root", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
 
 
 def components(edges: DataFrame, a: str = "doc_id_a", b: str = "doc_id_b") -> DataFrame:
@@ -367,5 +398,21 @@ def keep_one(docs: DataFrame, threshold: float = 0.5, n: int = 3) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similar pairs of all documents."""
-    return all_pairs(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Class and number of links of every document."""
+    return classes(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: All pairs that share an n-gram, which only small tables can afford; a document's words come in order.
+SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t <> '') AS w FROM documents
+), grams AS (
+  SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' ')))) AS g FROM words WHERE len(w) > 0
+), sized AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b WHERE both_ >= 0.5 * (x.n + y.n - both_)),
+reach AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT b, root FROM reach JOIN links ON a = id),
+roots AS (SELECT id, min(root) AS root FROM reach GROUP BY id),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT doc_id, root AS class_id, coalesce(n, 0) AS n_links FROM documents JOIN roots ON id = doc_id LEFT JOIN counts ON a = doc_id
+"""

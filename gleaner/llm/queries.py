@@ -29,5 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_exact_topk": topk.SQL,
         "op2_fingerprints": fingerprint.SQL,
         "op4_line_dedup": line_dedup.SQL,
+        "op5_ngram_jaccard_join": jaccard.SQL,
         "op6_mixing": mixing.SQL,
     }

@@ -1,8 +1,10 @@
 """The Jaccard join against all pairs."""
 
+import collections
 import itertools
 import random
 
+import numpy as np
 import pyarrow.parquet as pq
 from common import AWKWARD, docs, records
 
@@ -23,13 +25,43 @@ def brute(rows, threshold=0.5):
     return out
 
 
+def unfolded(made):
+    """All pairs of the short form, copies unfolded."""
+    star = {}
+    for p, s in made.items():
+        if s == 1.0:
+            star.setdefault(p[0], [p[0]]).append(p[1])
+    out = {}
+    for (a, b), s in made.items():
+        for x, y in itertools.product(star.get(a, [a]), star.get(b, [b])) if s < 1.0 else ():
+            out[min(x, y), max(x, y)] = s
+    for members in star.values():
+        out |= {(min(x, y), max(x, y)): 1.0 for x, y in itertools.combinations(members, 2)}
+    return out
+
+
+def brute_classes(rows, pairs):
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    links = collections.Counter(x for p in pairs for x in p)
+    return sorted((i, find(i), links[i]) for i in root)
+
+
 def check(spark, rows):
     want = brute(rows)
-    made = jaccard.jaccard_join(docs(spark, [(i, t, "s") for i, t in rows]).repartition(4)).cache()
-    got = {(r.doc_id_a, r.doc_id_b): r.jaccard for r in jaccard.expand_pairs(made).collect()}
+    made = jaccard.jaccard_join(docs(spark, [(i, t, "s") for i, t in rows]).repartition(4))
+    got = unfolded({(r.doc_id_a, r.doc_id_b): r.jaccard for r in made.collect()})
     assert all(abs(want[p] - s) < 1e-9 for p, s in got.items())  # nothing false
     assert len(got) >= 0.9 * len(want), (len(got), len(want))
-    return want, made
+    return want, got
 
 
 def test_generated_copies(spark):
@@ -79,7 +111,7 @@ def test_components(spark):
     assert sorted(x for x in got if x[0] != x[1]) == want
 
 
-def test_query_returns_all_pairs(spark, tmp_path):
+def test_query_counts_all_links(spark, tmp_path):
     rng = random.Random(3)
     rows, n = [], 0
     for size in [1] * 20 + [4] * 10 + [60]:
@@ -87,29 +119,64 @@ def test_query_returns_all_pairs(spark, tmp_path):
         near = [f"v{rng.randint(0, 3000)}" if rng.random() < 0.03 else w for w in base]
         for text in [base] * size + [near] * (size - 1):
             rows.append((n := n + 1, " ".join(text)))
+    rows += [(n := n + 1, ""), (n := n + 1, None)]
     rng.shuffle(rows)
     docs(spark, [(i, t, "s") for i, t in rows]).write.parquet(str(tmp_path / "documents.parquet"))
-    want = brute(rows)
-    made = jaccard.query(spark, str(tmp_path)).collect()
-    got = {(r.doc_id_a, r.doc_id_b): r.jaccard for r in made}
-    assert len(made) == len(got) and all(abs(want[p] - s) < 1e-9 for p, s in got.items())
-    assert len(got) >= 0.9 * len(want), (len(got), len(want))
-    assert all(p in got for p, s in want.items() if s == 1.0)
+    got = [tuple(r) for r in jaccard.query(spark, str(tmp_path)).collect()]
+    want = brute_classes(rows, brute(rows))
+    assert sorted(x[0] for x in got) == sorted(i for i, _ in rows)
+    assert sum(x[2] for x in got) >= 0.9 * sum(x[2] for x in want) and len(set(got) & set(want)) >= 0.9 * len(want)
+    # what isn't in doubt: no link that isn't there, and all between copies
+    links = {x[0]: x[2] for x in want}
+    assert all(x[2] <= links[x[0]] for x in got)
+
+
+def test_ids_with_several_sets(spark):
+    one, two, three, near = " ".join(f"a{i}" for i in range(30)), " ".join(f"a{i}" for i in range(28)), "x y z u v w", "x y z u v w q"
+    rows = [(1, one), (1, three), (2, one), (3, two), (4, three), (4, three), (5, one), (6, one), (6, two), (8, "all alone here"), (7, near)]
+    got = records(jaccard.classes(docs(spark, [(i, t, "s") for i, t in rows])), "doc_id", "class_id", "n_links")
+    # one: 1 2 5 6; two: 3 6; three: 1 4; near: 7. A similar set counts with all that have it.
+    one_, two_, three_, near_ = 3 + 2, 1 + 4, 1 + 1, 2
+    assert got == [(1, 1, one_ + three_), (2, 1, one_), (3, 1, two_), (4, 1, three_), (5, 1, one_), (6, 1, one_ + two_), (7, 1, near_), (8, 8, 0)]
+    # two texts of one document are no pair, and what is found for one isn't put down to the other
+    own = [(6, "p q r s t u v w"), (6, "p q r s t u v z"), (7, "k l m n")]
+    assert records(jaccard.classes(docs(spark, [(i, t, "s") for i, t in own])), "doc_id", "class_id", "n_links") == [(6, 6, 0), (7, 7, 0)]
+    shared = " ".join(f"b{i}" for i in range(20))
+    pairs = jaccard.jaccard_join(docs(spark, [(6, shared, "s"), (6, one, "s"), (7, shared + " end", "s"), (7, "other words", "s")]))
+    assert [(a, b, round(s, 6)) for a, b, s in records(pairs, "doc_id_a", "doc_id_b", "jaccard")] == [(6, 7, round(18 / 19, 6))]
+
+
+def test_classes_awkward(spark):
+    got = records(jaccard.classes(docs(spark, AWKWARD)), "doc_id", "class_id", "n_links")
+    assert got == [(1, 1, 0), (2, 2, 0), (3, 3, 0), (5, 5, 0), (6, 6, 1), (7, 6, 1), (8, 8, 0)]
+    assert jaccard.classes(docs(spark, AWKWARD).limit(0)).count() == 0
+
+
+def test_hot_buckets_are_split_and_meet_in_blocks(spark, monkeypatch):
+    """Buckets above HOT go down by exchanges, and what no split parts meets in blocks."""
+    monkeypatch.setattr(jaccard, "HOT", 8)
+    monkeypatch.setattr(jaccard, "LEAF", 4)
+    rng = random.Random(11)
+    rows, n = [], 0
+    for size in [1] * 40 + [30, 50]:
+        base = [f"v{rng.randint(0, 3000)}" for _ in range(60)]
+        for _ in range(size):
+            rows.append((n := n + 1, " ".join(f"v{rng.randint(0, 3000)}" if rng.random() < 0.02 else w for w in base)))
+    check(spark, rows)
+    sets = jaccard.signatures(docs(spark, [(i, t, "s") for i, t in rows]), 3, 0.5, 0.95)
+    sizes = [r["count"] for r in jaccard.split(sets, jaccard.branches(0.5)).groupBy("bucket").count().collect()]
+    assert 8 < max(sizes) <= 40
 
 
-def test_all_pairs_of_ids_with_several_sets(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "PART", 2)
-    one, two, three = " ".join(f"a{i}" for i in range(30)), " ".join(f"a{i}" for i in range(28)), "x y z u v w"
-    rows = [(1, one), (1, three), (2, one), (3, two), (4, three), (4, three), (5, one), (6, one), (6, two)]
-    got = {(a, b): s for a, b, s in records(jaccard.all_pairs(docs(spark, [(i, t, "s") for i, t in rows])), "doc_id_a", "doc_id_b", "jaccard")}
-    want = {}
-    for (i, a), (j, b) in itertools.combinations(rows, 2):
-        x, y = grams(a), grams(b)
-        if (i != j or x != y) and (s := len(x & y) / len(x | y)) >= 0.5:
-            want[min(i, j), max(i, j)] = max(s, want.get((min(i, j), max(i, j)), 0))
-    assert got.keys() == want.keys() and all(abs(want[p] - s) < 1e-9 for p, s in got.items())
+def test_a_pair_survives_at_any_depth():
+    for threshold in (0.3, 0.5, 0.8, 1.0):
+        p = jaccard.survival(threshold)
+        assert p > 0.5 and 1 - (1 - p) ** jaccard.runs_for(threshold, 0.95) >= 0.95
+        assert abs(p - (1 - (1 - threshold * p) ** jaccard.branches(threshold))) < 1e-6
 
 
-def test_all_pairs_awkward(spark):
-    assert records(jaccard.all_pairs(docs(spark, AWKWARD)), "doc_id_a", "doc_id_b", "jaccard") == [(6, 7, 1.0)]
-    assert jaccard.all_pairs(docs(spark, AWKWARD).limit(0)).count() == 0
+def test_sets_that_nothing_parts(spark):
+    values = np.zeros((600, jaccard.WIDTH), np.uint16)
+    values[:, 0] = np.arange(600)
+    pairs = jaccard.join_bucket(values, np.arange(600), 0.4, 3, 1)
+    assert sum(len(a) for a, _ in pairs) == 600 * 599 // 2

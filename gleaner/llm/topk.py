@@ -1,7 +1,9 @@
 """Exact top-k search by Fagin's threshold algorithm.
 
-Every vector is a query: its ``k`` neighbours of largest inner product. Vectors
-are dealt into shards; a shard has, for each dimension, its rows sorted by value.
+A query is a vector of the table: its ``k`` neighbours of largest inner product
+among all others. ``asks`` says which rows are queries; the registered query takes
+every row whose id is divisible by 20. Vectors are dealt into shards; a shard has,
+for each dimension, its rows sorted by value.
 Going down these lists (from the other end where a query's weight is negative),
 every row met in a list is scored in full, and the bound is the score that a row
 not met yet could have at best: the sum of weight times value at the current
@@ -11,9 +13,10 @@ down together, so that scores are matrix products; what one query of the block
 meets, the others may score too, which only raises their k-th result.
 
 On vectors without structure in their dimensions the bound falls late and most
-rows are scored; the answer is exact on any. Pairs of shards are the unit of work:
-they are dealt over tasks, a task holding ``GROUP`` shards that ask and ``GROUP``
-that answer, so memory doesn't depend on the number of vectors.
+rows are scored; the answer is exact on any. Pairs of a shard of queries and one of
+vectors are the unit of work: they are dealt over tasks, a task holding ``GROUP``
+shards that ask and ``GROUP`` that answer, so memory doesn't depend on the number
+of vectors. Work is the number of queries times that of vectors.
 
 Defined results
 ---------------
@@ -86,12 +89,15 @@ def element(vectors: DataFrame, vector_col: str) -> type:
     return np.float32 if dict(vectors.dtypes)[vector_col] == "array<float>" else np.float64
 
 
-def packed_shards(vectors: DataFrame, id_col: str, vector_col: str, shard_rows: int) -> tuple[DataFrame, int]:
-    """One row per shard and length: shard, dims, ids, rows (binary)."""
+def sound_rows(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """id, v, dims of the vectors that can be compared, one per id."""
     plain = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     sound = "id IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))"
-    rows = plain.filter(sound).groupBy("id").agg(F.min("v").alias("v")).select("id", "v", F.size("v").alias("dims"))
-    rows, kind = checkpointed(rows), element(vectors, vector_col)
+    return plain.filter(sound).groupBy("id").agg(F.min("v").alias("v")).select("id", "v", F.size("v").alias("dims"))
+
+
+def packed_shards(rows: DataFrame, kind: type, shard_rows: int) -> tuple[DataFrame, int]:
+    """One row per shard and length: shard, dims, ids, rows (binary)."""
     shards = max(1, -(-rows.count() // shard_rows))
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -102,10 +108,12 @@ def packed_shards(vectors: DataFrame, id_col: str, vector_col: str, shard_rows:
     return checkpointed(dealt.groupBy("shard", "dims").applyInPandas(pack, "shard int, dims int, ids binary, rows binary")), shards
 
 
-def topk(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """query_id, rank (from 1), neighbor_id, score."""
-    packs, shards = packed_shards(vectors, id_col, vector_col, shard_rows)
-    groups, kind = -(-shards // GROUP), element(vectors, vector_col)
+def topk(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, asks: str = "true") -> DataFrame:
+    """query_id, rank (from 1), neighbor_id, score; queries are the rows with ``asks`` (SQL over ``id``)."""
+    rows, kind = checkpointed(sound_rows(vectors, id_col, vector_col)), element(vectors, vector_col)
+    packs, shards = packed_shards(rows, kind, shard_rows)
+    asking, ask_shards = packed_shards(rows.filter(asks), kind, shard_rows)
+    groups, ask_groups = -(-shards // GROUP), -(-ask_shards // GROUP)
 
     def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         dims, out = int(key[2]), []
@@ -115,8 +123,7 @@ def topk(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str
         for _, asked in pdf[pdf["asks"]].iterrows():
             ids, queries = read(asked)
             best = np.full((len(ids), k), -np.inf), np.full((len(ids), k), -1, np.int64)
-            # its own shard first, as good a start as any
-            for _, r in others.iloc[np.argsort((others["shard"] != asked["shard"]).to_numpy(), kind="stable")].iterrows():
+            for _, r in others.iterrows():
                 names, rows = read(r)
                 best = descend(queries, ids, rows, names, k, best)
             scores, found = best
@@ -124,23 +131,23 @@ def topk(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str
             out.append(pd.DataFrame({"query_id": np.repeat(ids, k)[real.ravel()], "neighbor_id": found[real], "score": scores[real]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "neighbor_id": [], "score": []}).astype({"query_id": "int64", "neighbor_id": "int64"})
 
-    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     own = (F.col("shard") / F.lit(GROUP)).cast("int")
-    asks = packs.select(own.alias("block"), every.alias("part"), "dims", F.lit(True).alias("asks"), "shard", "ids", "rows")
-    told = packs.select(every.alias("block"), own.alias("part"), "dims", F.lit(False).alias("asks"), "shard", "ids", "rows")
-    found = asks.unionByName(told).groupBy("block", "part", "dims").applyInPandas(search, "query_id long, neighbor_id long, score double")
+    asked = asking.select(own.alias("block"), every(groups).alias("part"), "dims", F.lit(True).alias("asks"), "shard", "ids", "rows")
+    told = packs.select(every(ask_groups).alias("block"), own.alias("part"), "dims", F.lit(False).alias("asks"), "shard", "ids", "rows")
+    found = asked.unionByName(told).groupBy("block", "part", "dims").applyInPandas(search, "query_id long, neighbor_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "neighbor_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", F.round("score", 6).alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest neighbours of every vector."""
-    return topk(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    """The ten nearest neighbours, among all vectors, of every vector whose id is divisible by 20."""
+    return topk(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), asks="id % 20 = 0")
 
 
 SQL = f"""
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, list_inner_product(a.e, b.e) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, list_inner_product(a.e, b.e) AS s FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
 ranked AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, neighbor_id))::INT AS rank FROM pairs)
 SELECT query_id, rank, neighbor_id, round(s, 6) AS score FROM ranked WHERE rank <= {K}
 """

@@ -27,6 +27,16 @@ def test_topk_is_exact_over_many_shards(spark, sparse):
     assert sorted((r.query_id, r.rank, r.neighbor_id, r.score + 0.0) for r in got.collect()) == [(a, b, c, pytest.approx(d, abs=2e-6)) for a, b, c, d in brute(vectors, 5)]
 
 
+def test_topk_of_some_queries(spark):
+    rng = np.random.default_rng(7)
+    vectors = {i: v for i, v in enumerate(rng.normal(size=(150, 5)))}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>")
+    got = topk.topk(df, 4, shard_rows=8, asks="id % 20 = 0")
+    want = [x for x in brute(vectors, 4) if x[0] % 20 == 0]
+    assert sorted((r.query_id, r.rank, r.neighbor_id, r.score + 0.0) for r in got.collect()) == [(a, b, c, pytest.approx(d, abs=2e-6)) for a, b, c, d in want]
+    assert topk.topk(df, 4, asks="id < 0").count() == 0
+
+
 def test_topk_stops_early():
     """With one list that decides, the bound falls at once and few rows are scored."""
     rng = np.random.default_rng(1)

@@ -7,34 +7,46 @@ is looked up, so a false positive costs a lookup but never a line. Deleting a
 document takes its references back, and a line without references leaves table
 and filter, so insertions can be undone.
 
-``drop_repeated_lines`` deduplicates a whole table in one pass, in order of
-document id and line: the first occurrence of a line stays. ``LineIndex`` keeps
-the shards in a folder and takes insertions and deletions.
+``LineIndex`` keeps both in a folder that all executors share. A change adds its
+differences to the exact table and new filters of the shards that it touches; what
+other shards hold isn't read. ``drop_repeated_lines`` puts a whole table into an
+index: the first occurrence of a line in order of document id and line, unless the
+index has the line already, stays. Occurrences of a line are summed before they are
+exchanged, so a line that half the corpus has is no hot key.
 
 Defined results
 ---------------
 * Lines are compared without spaces at both ends. Blank lines are no lines: they
   stay and count for nothing.
 * A document of which every line is dropped goes; null texts, empty texts and
-  texts of blank lines stay as they are.
+  texts of blank lines stay as they are, in every row.
 * Documents without an id come last, in order of their text's hash. Rows of one
-  id with unlike texts are several documents; equal ones are one, kept once.
-* Other columns are kept, except that ``n_chars``, if there, follows the text.
+  id with unlike texts are several documents. Of rows with the same id and text,
+  whatever their other columns, the later ones hold nothing but repeated lines:
+  the first, in order of the hash of the other columns, is left.
+* Other columns are kept, except that ``n_chars``, if there, follows the text. A
+  column of the name of the count is replaced by it.
+* References are counted by row: a row inserted twice is to be deleted twice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.shared import checkpointed, read_table, sort_id
+from gleaner.llm.shared import checkpointed, ensure_checkpoint_dir, is_missing, read_table, sort_id
 
 SLOTS = 4
 KICKS = 500
+#: Lines of a shard, as a new index is laid out: a filter of 4 MB.
+SHARD_LINES = 1_000_000
+#: Up to so many shards are named in a filter on the exact table.
+NAMED_SHARDS = 4096
+BROADCAST_BYTES = 64 << 20
 
 
 class CuckooFilter:
@@ -48,6 +60,26 @@ class CuckooFilter:
         self.count = 0
         self._random = np.random.default_rng(5)
 
+    @classmethod
+    def of(cls, hashes: np.ndarray) -> "CuckooFilter":
+        """One that holds distinct lines, with room for as many more."""
+        capacity = max(1024, 2 * len(hashes))
+        while True:
+            made = cls(capacity)
+            if made.add(hashes):
+                return made
+            capacity *= 2
+
+    @classmethod
+    def read(cls, data: bytes) -> "CuckooFilter":
+        made = cls(0)
+        made.table = np.frombuffer(data, np.uint16).reshape(-1, SLOTS).copy()
+        made.count = int(np.count_nonzero(made.table))
+        return made
+
+    def write(self) -> bytes:
+        return self.table.tobytes()
+
     @property
     def capacity(self) -> int:
         return int(self.table.size * 0.85)
@@ -111,54 +143,6 @@ class CuckooFilter:
                     break
 
 
-class Shard:
-    """The exact table of a shard with its filter. Keys are 16 bytes."""
-
-    def __init__(self, refs: dict[bytes, int] | None = None):
-        self.refs = refs or {}
-        self.rebuild()
-
-    def rebuild(self) -> None:
-        keys = np.frombuffer(b"".join(self.refs), np.uint64)[::2]
-        capacity = max(1024, 2 * len(keys))
-        while True:
-            self.filter = CuckooFilter(capacity)
-            if self.filter.add(keys):
-                return
-            capacity *= 2
-
-    def insert(self, keys: np.ndarray) -> np.ndarray:
-        """Adds references in order; True where the line is new. keys: n x 2 uint64."""
-        raw = keys.tobytes()
-        names = [raw[i : i + 16] for i in range(0, len(raw), 16)]
-        new, refs, fresh = np.zeros(len(names), bool), self.refs, []
-        known = self.filter.contains(keys[:, 0])
-        batch: set[bytes] = set()
-        for i, (name, maybe) in enumerate(zip(names, known)):
-            if (maybe and name in refs) or name in batch:
-                refs[name] += 1
-            else:
-                refs[name] = 1
-                batch.add(name)
-                new[i] = True
-                fresh.append(i)
-        if self.filter.count + len(fresh) > self.filter.capacity or not self.filter.add(keys[fresh, 0]):
-            self.rebuild()
-        return new
-
-    def delete(self, keys: np.ndarray) -> None:
-        """Takes references back; unknown lines are ignored."""
-        raw, gone = keys.tobytes(), []
-        for i in range(0, len(raw), 16):
-            name = raw[i : i + 16]
-            if name in self.refs:
-                self.refs[name] -= 1
-                if not self.refs[name]:
-                    del self.refs[name]
-                    gone.append(i // 16)
-        self.filter.remove(keys[gone, 0])
-
-
 def lines_of(docs: DataFrame) -> DataFrame:
     """id, version (the text's hash), line_no, h1, h2 of every line that isn't blank."""
     rows = docs.filter("text IS NOT NULL").select(sort_id().alias("id"), F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
@@ -166,122 +150,183 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.select("id", "version", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def _settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Marks occurrences that have an earlier one in their batch: they are repeats
-    whatever the shard says, so a line that half the corpus has is no hot key."""
-    for b in batches:
-        b = b.sort_values(["h1", "h2", "id", "version", "line_no"]).drop_duplicates()
-        line = b[["h1", "h2"]]
-        yield b.assign(settled=(line == line.shift()).all(axis=1))
-
-
-def _repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Occurrences that aren't the first, from one shard's lines in order."""
-    shard, last = Shard(), None
-    for b in batches:
-        done = b["settled"].to_numpy(bool)
-        if done.any():
-            yield b.loc[done, ["id", "version", "line_no"]]
-        b = b[~done].drop(columns="settled")
-        if not len(b):
-            continue
-        at = b[["id", "version", "line_no"]]
-        again = (at == at.shift()).all(axis=1).to_numpy(copy=True)  # a repeated row: the same occurrence
-        same = b[["h1", "h2"]].eq(b[["h1", "h2"]].shift()).all(axis=1).to_numpy()
-        again &= same
-        if last is not None and tuple(b.iloc[0]) == last:
-            again[0] = True
-        last = tuple(b.iloc[-1])
-        b = b[~again]
-        new = shard.insert(np.ascontiguousarray(b[["h1", "h2"]].to_numpy(np.int64)).view(np.uint64))
-        yield b.loc[~new, ["id", "version", "line_no"]]
-
-
-def repeats(docs: DataFrame) -> DataFrame:
-    """id, version, line_no of every occurrence of a line after its first.
-
-    One exchange of ids and hashes; a task is a shard and reads it in order.
-    Occurrences settled before the exchange are spread over all tasks.
-    """
-    lines = lines_of(docs).mapInPandas(_settled, "id long, version long, line_no int, h1 long, h2 long, settled boolean")
-    shard = F.when(F.col("settled"), F.xxhash64("id", "line_no")).otherwise(F.col("h1"))
-    lines = lines.repartition(shard).sortWithinPartitions("id", "version", "line_no")
-    return lines.mapInPandas(_repeats, "id long, version long, line_no int")
-
-
-def drop_repeated_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with the first occurrence of every line only, and lines_removed."""
-    gone = repeats(docs).groupBy("id", "version").agg(F.collect_set("line_no").alias("gone"))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    other = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("other")
-    rows = docs.select(row, sort_id().alias("id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("version"), other)
-    lines = F.split("row.text", "\n", -1)
-    kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull())
-    order = Window.partitionBy("id", "version").orderBy("other")
-    once = rows.join(gone, ["id", "version"], "left").withColumn("nth", F.row_number().over(order)).filter("nth = 1")
-    joined = once.withColumn("left", F.when(F.col("gone").isNotNull(), kept))
-    # a document goes if something was dropped and no line but blank ones is left
-    joined = joined.filter("gone IS NULL OR exists(left, x -> trim(x) <> '')")
-    text = F.when(F.col("gone").isNotNull(), F.array_join("left", "\n")).otherwise(F.col("row.text"))
-    out = [text.alias(c) if c == "text" else F.when(F.col("gone").isNotNull(), F.length(text)).otherwise(F.col("row.n_chars")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns]
-    return joined.select(*out, F.coalesce(F.size("gone"), F.lit(0)).alias("lines_removed"))
+def summed(docs: DataFrame) -> DataFrame:
+    """h1, h2, refs (occurrences) and the first one's id, version, line_no, of every line."""
+    at = F.struct("id", "version", "line_no")
+    return lines_of(docs).groupBy("h1", "h2").agg(F.count("*").alias("refs"), F.min(at).alias("at")).select("h1", "h2", "refs", "at.*")
+
+
+def shard_of(shards: int):
+    """By the hash that the filters don't take their places from."""
+    return F.pmod("h2", F.lit(shards)).cast("int")
 
 
 class LineIndex:
-    """Shards in a folder that all executors share.
+    """Exact table and filters in a folder that all executors share.
 
-    Every change writes a new version of the tables beside the old one, so a
-    failed job leaves the index as it was, and ``version`` can be set back.
+    ``refs/v=N/shard=K`` has what change N added to or took from the counts,
+    ``filters/v=N`` the filters that it made anew, ``commits`` a row for each change
+    that is complete. A change that fails leaves the index as it was; opening the
+    folder finds the last complete one. One writer at a time. Without ``shards``, the
+    first insertion lays out as many as its lines need.
     """
 
-    SCHEMA = "shard int, h1 long, h2 long, refs long"
+    _REFS = "h1 long, h2 long, refs long, v int, shard int"
+    _FILTERS = "shard int, filter binary, v int"
+    _COMMITS = "version int, base int, shards int"
+
+    def __init__(self, spark: SparkSession, path: str, shards: int | None = None):
+        self.spark, self.path = spark, path
+        last = self._read("commits", self._COMMITS).agg(F.max(F.struct("version", "base", "shards")).alias("last")).first()["last"]
+        self.version, self.base, self.shards = (last["version"], last["base"], last["shards"]) if last else (0, 1, shards)
 
-    def __init__(self, spark: SparkSession, path: str, shards: int = 64):
-        self.spark, self.path, self.shards, self.version = spark, path, shards, 0
+    def _read(self, name: str, schema: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        except Exception as e:
+            if not is_missing(e):
+                raise
+            return self.spark.createDataFrame([], schema)
 
-    def _at(self, name: str, version: int) -> str:
-        return f"{self.path}/{name}/v{version}"
+    def _current(self, name: str, schema: str) -> DataFrame:
+        return self._read(name, schema).filter(F.col("v").between(self.base, self.version))
 
     def refs(self) -> DataFrame:
         """The exact table: shard, h1, h2, refs."""
-        if not self.version:
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.parquet(self._at("refs", self.version))
-
-    def _lines(self, docs: DataFrame) -> DataFrame:
-        lines = lines_of(docs).dropDuplicates(["id", "version", "line_no"])
-        return lines.withColumn("shard", F.pmod("h1", F.lit(self.shards)).cast("int"))
-
-    def _apply(self, docs: DataFrame, deleting: bool) -> DataFrame:
-        def change(key: tuple, old: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
-            pairs = np.ascontiguousarray(old[["h1", "h2"]].to_numpy(np.int64))
-            raw = pairs.tobytes()
-            shard = Shard({raw[16 * i : 16 * i + 16]: int(n) for i, n in enumerate(old["refs"])})
-            lines = lines.sort_values(["id", "version", "line_no"])
-            keys = np.ascontiguousarray(lines[["h1", "h2"]].to_numpy(np.int64)).view(np.uint64)
-            new = np.zeros(len(lines), bool)
-            if deleting:
-                shard.delete(keys)
-            else:
-                new = shard.insert(keys)
-            kept = np.frombuffer(b"".join(shard.refs), np.int64).reshape(-1, 2)
-            table = pd.DataFrame({"shard": key[0], "h1": kept[:, 0], "h2": kept[:, 1], "refs": list(shard.refs.values()), "id": 0, "version": 0, "line_no": -1})
-            fresh = lines.loc[new, ["id", "version", "line_no", "h1", "h2"]].assign(shard=key[0], refs=0)
-            return pd.concat([table, fresh])[["shard", "h1", "h2", "refs", "id", "version", "line_no"]]
-
-        made = self.refs().groupBy("shard").cogroup(self._lines(docs).groupBy("shard")).applyInPandas(change, f"{self.SCHEMA}, id long, version long, line_no int")
-        made = checkpointed(made)
-        self.version += 1
-        made.filter("line_no < 0").select("shard", "h1", "h2", "refs").write.mode("overwrite").parquet(self._at("refs", self.version))
-        return made.filter("line_no >= 0").select("id", "version", "line_no")
+        return self._current("refs", self._REFS).groupBy("shard", "h1", "h2").agg(F.sum("refs").alias("refs")).filter("refs > 0")
+
+    def filters(self) -> DataFrame:
+        """shard, filter: the last one of each shard."""
+        return self._current("filters", self._FILTERS).groupBy("shard").agg(F.max_by("filter", "v").alias("filter"))
 
     def insert(self, docs: DataFrame) -> DataFrame:
-        """Adds the lines of ``docs``; id, version, line_no of those that are new."""
-        return self._apply(docs, False)
+        """Adds the lines of ``docs``; id, version, line_no of the first occurrences of those that are new."""
+        return self._change(docs, False).filter("old = 0").select("id", "version", "line_no")
 
     def delete(self, docs: DataFrame) -> None:
-        """Takes the lines of ``docs`` back, whose texts must be those inserted."""
-        self._apply(docs, True)
+        """Takes the lines of ``docs`` back, whose texts must be those inserted; unknown lines are ignored."""
+        self._change(docs, True)
+
+    def _known(self, lines: DataFrame) -> DataFrame:
+        """shard, h1, h2, old: references so far of the lines that the filters don't rule out."""
+
+        def ask(_: tuple, filters: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+            if not len(filters) or not len(asked):
+                return asked.iloc[:0]
+            found = CuckooFilter.read(filters["filter"].iloc[0]).contains(asked["h1"].to_numpy(np.int64).view(np.uint64))
+            return asked[found]
+
+        asked = lines.select("shard", "h1", "h2")
+        maybe = checkpointed(self.filters().groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(ask, "shard int, h1 long, h2 long"))
+        table = self.refs()
+        touched = [r["shard"] for r in maybe.select("shard").distinct().limit(NAMED_SHARDS + 1).collect()]
+        if len(touched) <= NAMED_SHARDS:
+            table = table.filter(F.col("shard").isin(touched))
+        return table.join(maybe, ["shard", "h1", "h2"]).withColumnRenamed("refs", "old")
+
+    def _change(self, docs: DataFrame, deleting: bool) -> DataFrame:
+        """The lines of ``docs`` as ``summed`` gives them, with old, the references before."""
+        lines = checkpointed(summed(docs))
+        self.shards = self.shards or -(-lines.count() // SHARD_LINES) or 1
+        lines = lines.withColumn("shard", shard_of(self.shards))
+        if self.version:
+            lines = checkpointed(lines.join(self._known(lines), ["shard", "h1", "h2"], "left").fillna(0, ["old"]))
+        else:
+            lines = lines.withColumn("old", F.lit(0).cast("long"))
+        step = -F.least("refs", "old") if deleting else F.col("refs")
+        changed = lines.select("shard", "h1", "h2", step.alias("refs")).filter("refs <> 0")
+        # a shard's rows together, so that it gets one file
+        self._write(changed.repartition("shard"), f"refs/v={self.version + 1}", "shard")
+        self._write(self._filtered(lines.filter("old > 0 AND old <= refs" if deleting else "old = 0"), deleting), f"filters/v={self.version + 1}")
+        self._commit(self.version + 1, self.base, self.shards)
+        return lines
+
+    def _filtered(self, moved: DataFrame, deleting: bool) -> DataFrame:
+        """shard, filter of the shards that lines come to or leave."""
+
+        def change(key: tuple, filters: pd.DataFrame, moved: pd.DataFrame) -> pd.DataFrame:
+            if not len(moved):
+                return pd.DataFrame({"shard": [], "filter": []}).astype({"shard": "int32"})
+            keys = moved["h1"].to_numpy(np.int64).view(np.uint64)
+            if not len(filters):
+                return pd.DataFrame({"shard": [key[0]], "filter": [CuckooFilter.of(keys).write()]})
+            found = CuckooFilter.read(filters["filter"].iloc[0])
+            if deleting:
+                found.remove(keys)
+            elif found.count + len(keys) > found.capacity or not found.add(keys):
+                return pd.DataFrame({"shard": [key[0]], "filter": [None]})
+            return pd.DataFrame({"shard": [key[0]], "filter": [found.write()]})
+
+        old = self.filters() if self.version else self.spark.createDataFrame([], "shard int, filter binary")
+        made = checkpointed(old.groupBy("shard").cogroup(moved.select("shard", "h1").groupBy("shard")).applyInPandas(change, "shard int, filter binary"))
+        full = made.filter("filter IS NULL").select("shard")
+        if not full.limit(1).count():
+            return made
+        now = self._read("refs", self._REFS).filter(F.col("v").between(self.base, self.version + 1)).join(full, "shard", "left_semi")
+        now = now.groupBy("shard", "h1", "h2").agg(F.sum("refs").alias("refs")).filter("refs > 0")
+        return made.filter("filter IS NOT NULL").unionByName(self._built(now))
+
+    @staticmethod
+    def _built(table: DataFrame) -> DataFrame:
+        build = lambda key, rows: pd.DataFrame({"shard": [key[0]], "filter": [CuckooFilter.of(rows["h1"].to_numpy(np.int64).view(np.uint64)).write()]})
+        return table.select("shard", "h1").groupBy("shard").applyInPandas(build, "shard int, filter binary")
+
+    def _write(self, df: DataFrame, name: str, by: str | None = None) -> None:
+        """Only a change that didn't end can have left something there."""
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(by) if by else writer).parquet(f"{self.path}/{name}")
+
+    def _commit(self, version: int, base: int, shards: int) -> None:
+        self.spark.createDataFrame([(version, base, shards)], self._COMMITS).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+        self.version, self.base, self.shards = version, base, shards
+
+    def compact(self, shards: int | None = None) -> None:
+        """Sums the changes so far into one, dealt into ``shards`` if given."""
+        shards, version = shards or self.shards, self.version + 1
+        table = checkpointed(self.refs().withColumn("shard", shard_of(shards)))
+        self._write(table.select("shard", "h1", "h2", "refs").repartition("shard"), f"refs/v={version}", "shard")
+        self._write(self._built(table), f"filters/v={version}")
+        self._commit(version, version, shards)
+
+
+def drop_repeated_lines(docs: DataFrame, index: LineIndex | None = None, removed: str | None = "lines_removed") -> DataFrame:
+    """``docs`` with the first occurrence of every line only, and how many were removed.
+
+    Without an index a new one is made in the shared checkpoint folder. The number
+    goes to the column ``removed``, or nowhere.
+    """
+    spark = docs.sparkSession
+    if index is None:
+        index = LineIndex(spark, f"{ensure_checkpoint_dir(spark)}/lines-{uuid.uuid4().hex}")
+    columns = [c for c in docs.columns if c != removed]
+    fresh = index.insert(docs).groupBy("id", "version").agg(F.collect_list("line_no").alias("fresh"))
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+    other = F.xxhash64(F.lit(0), *[F.col(f"`{c}`") for c in columns if c != "text"]).alias("other")
+    rows = docs.select(row, sort_id().alias("id"), F.xxhash64("text").alias("version"), other, F.coalesce(F.col("text").rlike(r"[^ \n]"), F.lit(False)).alias("filled"))
+    # the lines of repeated rows stay in the first
+    again = checkpointed(rows.filter("filled").groupBy("id", "version").count().filter("count > 1").select("id", "version"))
+    filled, many = rows.filter("filled"), again.count()
+    if many:
+        again = F.broadcast(again) if 16 * many <= BROADCAST_BYTES else again
+        order = Window.partitionBy("id", "version").orderBy("other")
+        first = filled.join(again, ["id", "version"], "left_semi").withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth")
+        filled = filled.join(again, ["id", "version"], "left_anti").unionByName(first)
+    lines = F.split("row.text", "\n", -1)
+    numbers = F.sequence(F.lit(0), F.size(lines) - 1)
+    # set operations on numbers look each up in a hash table
+    gone = F.array_except(F.filter(numbers, lambda i: F.trim(F.get("lines", i)) != ""), F.col("fresh"))
+    # without a new line nothing is left
+    joined = filled.join(fresh, ["id", "version"]).withColumn("lines", lines).withColumn("gone", gone)
+    left = F.transform(F.array_except(numbers, F.col("gone")), lambda i: F.get("lines", i))
+    changed = F.size("gone") > 0
+    text = F.when(changed, F.array_join(left, "\n")).otherwise(F.col("row.text"))
+    joined = joined.withColumn("now", text)
+    names = {"text": F.col("now")}
+    if "n_chars" in columns:
+        names["n_chars"] = F.when(changed, F.length("now")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    count = lambda c: [c.alias(removed)] if removed else []
+    kept = joined.select(*[names.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns], *count(F.size("gone")))
+    return kept.unionByName(rows.filter("NOT filled").select("row.*", *count(F.lit(0))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,6 +40,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def is_missing(error: Exception) -> bool:
+    """Whether a table couldn't be read because nothing has been written there."""
+    return "PATH_NOT_FOUND" in str(error)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,6 +6,10 @@ state of a document is the sum of the vectors, lane by lane modulo 2**32. So the
 order of the paragraphs doesn't matter, and paragraphs are added to or taken from
 a state without the rest of the text. The fingerprint is SHA-256 of the state.
 
+The sum tells unlike documents apart that nobody made to collide. Someone who may
+choose paragraphs freely can look for sums that vanish, and 64 lanes are few against
+that; the lanes are a parameter of the module (``BLOCKS``).
+
 Defined results
 ---------------
 * Paragraphs are the lines of a text without spaces, tabs and carriage returns at
@@ -90,26 +94,37 @@ def update_states(states: DataFrame, changes: DataFrame) -> DataFrame:
     """``states`` (doc_id, n_paragraphs, state, fingerprint) after ``changes``.
 
     changes: doc_id, paragraph, added (true: inserted, false: deleted). Paragraphs
-    are hashed and summed, then added to the states; ids without a state start at
-    zeros. Deleting what was never there is not noticed, as the hash keeps no list;
-    the count then falls below the truth. Changes with a null in a column or an
-    empty paragraph change nothing.
+    are hashed where they are and summed by id before they are exchanged, then added
+    to the states; ids without a state start at zeros. Every state of an id that has
+    several is changed alike; those without an id stay, as do others without a
+    change; a null state is one of zeros. Deleting what was never there is not
+    noticed, as the hash keeps no list; the count then falls below the truth.
+    Changes with a null in a column or an empty paragraph change nothing.
     """
 
-    def apply(key: tuple, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        state, count = np.zeros(LANES, np.uint32), 0
-        if len(old):
-            state, count = from_hex(old["state"].iloc[0]), int(old["n_paragraphs"].iloc[0])
-        for paragraph, added in zip(new["paragraph"], new["added"]):
-            part = paragraph.strip(" \t\r")
-            if part:
-                one = state_of([part])
-                state, count = (state + one, count + 1) if added else (state - one, count - 1)
-        text = to_hex(state)
-        return pd.DataFrame([(key[0], count, text, digest(text))], columns=["doc_id", "n_paragraphs", "state", "fingerprint"])
-
-    wanted = changes.select("doc_id", "paragraph", "added").dropna()
-    return states.select("doc_id", "n_paragraphs", "state", "fingerprint").groupBy("doc_id").cogroup(wanted.groupBy("doc_id")).applyInPandas(apply, "doc_id long, n_paragraphs long, state string, fingerprint string")
+    def moves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made: dict[int, list] = {}
+            for id_, paragraph, added in zip(b["doc_id"], b["paragraph"], b["added"]):
+                part = paragraph.strip(" \t\r")
+                if part:
+                    one = made.setdefault(id_, [0, np.zeros(LANES, np.uint32)])
+                    one[0] += 1 if added else -1
+                    one[1] += state_of([part]) * np.uint32(1 if added else 0xFFFFFFFF)
+            yield pd.DataFrame([(k, n, lanes.astype(np.int64)) for k, (n, lanes) in made.items()], columns=["doc_id", "by", "lanes"])
+
+    wanted = changes.select(F.col("doc_id").cast("long").alias("doc_id"), "paragraph", "added").dropna()
+    made = wanted.mapInPandas(moves, "doc_id long, by long, lanes array<long>")
+    sums = [F.sum(F.get("lanes", F.lit(i))).alias(f"l{i}") for i in range(LANES)]
+    moved = made.groupBy("doc_id").agg(F.sum("by").alias("by"), *sums).select("doc_id", "by", F.array(*[f"l{i}" for i in range(LANES)]).alias("lanes"))
+    old = states.select(F.col("doc_id").cast("long").alias("doc_id"), "n_paragraphs", "state", "fingerprint")
+    both = old.join(moved, "doc_id", "full")
+    before = F.coalesce("state", F.lit("0" * 8 * LANES))
+    lane = lambda x, i: F.conv(F.substring(before, 8 * i + 1, F.lit(8)), 16, 10).cast("long") + x
+    after = F.array_join(F.transform("lanes", lambda x, i: F.lower(F.lpad(F.hex(F.pmod(lane(x, i), F.lit(1 << 32))), 8, "0"))), "")
+    both = both.withColumn("now", F.when(F.col("by").isNull(), before).otherwise(after))
+    count = (F.coalesce("n_paragraphs", F.lit(0)) + F.coalesce("by", F.lit(0))).cast("long")
+    return both.select("doc_id", count.alias("n_paragraphs"), F.col("now").alias("state"), F.sha2("now", 256).alias("fingerprint"))
 
 
 def equal_documents(made: DataFrame) -> DataFrame:

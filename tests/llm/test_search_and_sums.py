@@ -86,3 +86,15 @@ def test_fingerprints_insert_and_delete(spark):
     after = records(fingerprint.update_states(before, changes), "doc_id", "n_paragraphs", "state", "fingerprint")
     want = records(fingerprint.fingerprints(docs(spark, [(1, "b\nz\na", "s"), (2, "", "s"), (3, "new", "s"), (4, "q", "s")])), "doc_id", "n_paragraphs", "state", "fingerprint")
     assert after == want
+
+
+def test_every_state_is_kept(spark):
+    made = fingerprint.fingerprints(docs(spark, [(1, "a", "s"), (1, "b", "t"), (None, "c", "s"), (None, "d", "s"), (5, "e", "s"), (5, "e", "s")]))
+    changes = spark.createDataFrame([(1, "z", True), (None, "x", True)] + [(7, "hot", True)] * 300 + [(7, "hot", False)] * 299, "doc_id long, paragraph string, added boolean")
+    columns = ("doc_id", "n_paragraphs", "state", "fingerprint")
+    got = records(fingerprint.update_states(made, changes.repartition(3)), *columns)
+    want = fingerprint.fingerprints(docs(spark, [(1, "a\nz", "s"), (1, "z\nb", "t"), (None, "c", "s"), (None, "d", "s"), (5, "e", "s"), (5, "e", "s"), (7, "hot", "s")]))
+    assert got == records(want, *columns)
+    assert records(fingerprint.update_states(made, changes.limit(0)), *columns) == records(made, *columns)
+    assert fingerprint.update_states(made.limit(0), changes.limit(0)).count() == 0
+    assert records(fingerprint.update_states(made.limit(0), changes), "doc_id", "n_paragraphs") == [(1, 1), (7, 1)]

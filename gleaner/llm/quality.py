@@ -1,15 +1,19 @@
 """Quality classifier: support vectors over naive-Bayes scaled n-grams.
 
 Each document becomes the set of its word unigrams and bigrams (indicators,
-hashed). An indicator is scaled by the log-count ratio of its class shares, and a
-linear L2-regularised hinge-loss model is fitted to the scaled vectors by dual
-coordinate descent. Two heads are trained on the label table: *quality* (1 good)
-and *toxicity* (0 good). A document is rejected when either head rejects it.
+hashed to ``2 ** BITS`` numbers). A bigram of a word with itself also counts as the
+n-gram ``REPEAT``, whatever the word, which has a number of its own. An indicator is
+scaled by the log-count ratio of its class shares, documents to length 1, and a
+linear model of L2 norm and hinge loss is fitted by dual coordinate descent. Two
+heads are trained on the label table: *quality* (1 good) and *toxicity* (0 good). A
+document is rejected when either head rejects it.
 
 Defined results
 ---------------
 * Only the training set is a sample: at most ``max_train`` labelled documents,
   those with the smallest hash of their id. Scoring covers every document.
+* Descent ends when no document's projected gradient is off by more than
+  ``TOLERANCE``, or after ``EPOCHS``.
 * A null or empty text has no feature; its score is the model's intercept.
 * A null label is no label. Several labels of one document count as the worst
   (lowest quality, highest toxicity). Labelled ids that are absent are ignored,
@@ -32,12 +36,17 @@ from pyspark.sql import functions as F
 from gleaner.llm.shared import read_table
 
 BITS = 20
+REPEAT = 1 << BITS
+SIZE = REPEAT + 1
+TOLERANCE = 0.01
+EPOCHS = 1000
+SMOOTHING = 16.0
 MAX_TRAIN = 20_000
 HEADS = ("quality", "toxic")
 _TOKEN = re.compile(rb"[a-z0-9_\x80-\xff]+|[^\sa-z0-9_\x80-\xff]+")
 
 
-_LAST_SEEN = np.zeros(1 << BITS, np.int32)
+_LAST_SEEN = np.zeros(SIZE, np.int32)
 
 
 def features(text: str | None) -> np.ndarray:
@@ -49,58 +58,77 @@ def features(text: str | None) -> np.ndarray:
     mixed = (words ^ (words >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
     one = mixed >> np.uint32(32 - BITS)
     two = (mixed[:-1] * np.uint32(0x9E3779B1) + words[1:]) * np.uint32(0x85EBCA6B)
-    again = np.full(1 if (words[1:] == words[:-1]).any() else 0, 0, np.uint32)
+    again = np.full(1 if (words[1:] == words[:-1]).any() else 0, REPEAT, np.uint32)
     ids = np.concatenate([one, two >> np.uint32(32 - BITS), again])
     place = np.arange(len(ids), dtype=np.int32)
     _LAST_SEEN[ids] = place  # what is read back was written just now, so the table is never cleared
     return ids[_LAST_SEEN[ids] == place]
 
 
-def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, smoothing: float, min_docs: int) -> np.ndarray:
-    """Log ratio of the smoothed class shares of each feature; 0 for rare ones."""
-    size = 1 << BITS
-    pos, neg = np.zeros(size), np.zeros(size)
+def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
+    """Log ratio of each feature's shares of the two classes.
+
+    ``smoothing`` occurrences of every feature are added, dealt to the classes by
+    their totals: a rare feature tells little, one not seen nothing, also where one
+    class is much smaller.
+    """
+    pos, neg = np.zeros(SIZE), np.zeros(SIZE)
     for ids, label in zip(rows, y):
         (pos if label > 0 else neg)[ids] += 1
-    seen = pos + neg >= min_docs
-    share = lambda counts: (counts + smoothing) / (counts.sum() + smoothing * seen.sum())
-    return np.where(seen, np.log(share(pos) / share(neg)), 0.0)
+    more = smoothing / max(pos.sum() + neg.sum(), 1)
+    return np.log((pos / max(pos.sum(), 1) + more) / (neg / max(neg.sum(), 1) + more))
 
 
-def fit_head(rows: list[np.ndarray], y: np.ndarray, c: float = 0.1, epochs: int = 12, smoothing: float = 1.0, min_docs: int = 8, seed: int = 7) -> tuple[np.ndarray, float]:
+def fit_head(rows: list[np.ndarray], y: np.ndarray, c: float = 1.0, smoothing: float = SMOOTHING, seed: int = 7, tolerance: float = TOLERANCE) -> tuple[np.ndarray, float]:
     """Weights per feature (ratios multiplied in) and intercept.
 
-    Dual coordinate descent for the squared hinge loss: one dual variable per
-    document, visited in a new random order in every epoch. Classes are weighted
-    to the same total.
+    Dual coordinate descent for the hinge loss: one dual variable per document,
+    between 0 and its class's share of ``c``, visited in a new random order in every
+    epoch. Variables at a bound whose gradient points out of it by more than any
+    seen in the last epoch are left alone until the others have converged. Classes
+    are weighted to the same total.
     """
-    size = 1 << BITS
     if len(rows) == 0 or (y > 0).all() or (y < 0).all():
-        return np.zeros(size, np.float32), 0.0
-    ratio = log_count_ratio(rows, y, smoothing, min_docs)
+        return np.zeros(SIZE, np.float32), 0.0
+    ratio = log_count_ratio(rows, y, smoothing)
     rows = [ids[ratio[ids] != 0] for ids in rows]
     scaled = [ratio[ids] for ids in rows]
     norms = np.array([np.sqrt((v * v).sum() + 1.0) for v in scaled])
     scaled = [v / n for v, n in zip(scaled, norms)]
-    share = np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum()))
-    slack = 1.0 / (2 * c * share)
-    w, bias, alpha = np.zeros(size), 0.0, np.zeros(len(rows))
-    order, random = np.arange(len(rows)), np.random.default_rng(seed)
-    for _ in range(epochs):
-        random.shuffle(order)
-        moved = 0.0
-        for i in order:
+    top = c * np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum()))
+    w, bias, alpha = np.zeros(SIZE), 0.0, np.zeros(len(rows))
+    every, random = np.arange(len(rows)), np.random.default_rng(seed)
+    active, high, low = every.copy(), np.inf, -np.inf
+    for _ in range(EPOCHS):
+        random.shuffle(active)
+        most, least, stays = -np.inf, np.inf, np.ones(len(active), bool)
+        for k, i in enumerate(active):
             ids, v, unit = rows[i], scaled[i], 1.0 / norms[i]
-            gradient = y[i] * (w[ids] @ v + bias * unit) - 1 + slack[i] * alpha[i]
-            new = max(alpha[i] - gradient / (1.0 + slack[i]), 0.0)
-            step = (new - alpha[i]) * y[i]
-            if step:
+            gradient = y[i] * (w[ids] @ v + bias * unit) - 1
+            off = gradient
+            if alpha[i] == 0:
+                if gradient > high:
+                    stays[k] = False
+                    continue
+                off = min(gradient, 0.0)
+            elif alpha[i] == top[i]:
+                if gradient < low:
+                    stays[k] = False
+                    continue
+                off = max(gradient, 0.0)
+            most, least = max(most, off), min(least, off)
+            if off:
+                new = min(max(alpha[i] - gradient, 0.0), top[i])  # documents have length 1
+                step = (new - alpha[i]) * y[i]
                 w[ids] += step * v
                 bias += step * unit
                 alpha[i] = new
-                moved = max(moved, abs(step))
-        if moved < 1e-3:
+        done, whole = max(most, -least) <= tolerance, len(active) == len(every)
+        if done and whole:
             break
+        active = every.copy() if done else active[stays]
+        high = most if most > 0 and not done else np.inf
+        low = least if least < 0 and not done else -np.inf
     return (w * ratio).astype(np.float32), float(bias)
 
 
@@ -119,62 +147,61 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRA
     return texts.join(F.broadcast(one), "id").select("id", "text", "quality", "toxic")
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, c: float = 0.1) -> dict[str, tuple[np.ndarray, np.ndarray, float]]:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, c: float = 1.0) -> dict[str, tuple[np.ndarray, np.ndarray, float]]:
     """Per head the feature numbers, weights and intercept.
 
-    Features are computed where the texts are; one task fits both heads.
+    Features are computed where the texts are; each head is fitted by a task.
     """
 
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "ids": [features(t).tobytes() for t in b["text"]], "quality": b["quality"], "toxic": b["toxic"]})
 
-    def fit(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "ids"]).drop_duplicates("id")
-        rows, out = [np.frombuffer(x, np.uint32) for x in pdf["ids"]], []
-        for head in HEADS:
-            known = pdf[head].notna().to_numpy()
-            good = pdf[head].fillna(0).to_numpy() > 0
-            y = np.where(good if head == "quality" else ~good, 1.0, -1.0)[known]
-            w, bias = fit_head([r for r, k in zip(rows, known) if k], y, c)
-            ids = np.flatnonzero(w).astype(np.uint32)
-            out.append((head, ids.tobytes(), w[ids].tobytes(), bias))
-        return pd.DataFrame(out, columns=["head", "ids", "weights", "bias"])
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        head, pdf = key[0], pdf.sort_values(["id", "ids"]).drop_duplicates("id")
+        pdf = pdf[pdf[head].notna()]
+        good = pdf[head].to_numpy() > 0
+        w, bias = fit_head([np.frombuffer(x, np.uint32) for x in pdf["ids"]], np.where(good if head == "quality" else ~good, 1.0, -1.0), c)
+        ids = np.flatnonzero(w).astype(np.uint32)
+        return pd.DataFrame([(head, ids.tobytes(), w[ids].tobytes(), bias)], columns=["head", "ids", "weights", "bias"])
 
     made = training_sample(docs, labels, max_train).mapInPandas(featurise, "id long, ids binary, quality double, toxic double")
-    models = made.groupBy(F.lit(0).alias("all")).applyInPandas(fit, "head string, ids binary, weights binary, bias double").collect()
+    made = made.select("*", F.explode(F.array(*map(F.lit, HEADS))).alias("head"))
+    # a model has at most SIZE numbers
+    models = made.groupBy("head").applyInPandas(fit, "head string, ids binary, weights binary, bias double").collect()
     return {r["head"]: (np.frombuffer(r["ids"], np.uint32), np.frombuffer(r["weights"], np.float32), r["bias"]) for r in models}
 
 
 def score(docs: DataFrame, model: dict, columns: list[str] | None = None) -> DataFrame:
-    """``docs`` with quality_score, toxic_score (above 0 is good) and keep."""
+    """``docs`` with quality_score, toxic_score (above 0 is good) and keep, which replace columns of these names."""
     from pyspark.sql import types as T
 
-    columns = columns or docs.columns
+    columns = [c for c in columns or docs.columns if c not in ("quality_score", "toxic_score", "keep")]
+    read = "_text" + "_" * max(map(len, columns), default=0)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([f for f in docs.select(*columns).schema] + [T.StructField(n, t) for n, t in (("quality_score", T.DoubleType()), ("toxic_score", T.DoubleType()), ("keep", T.BooleanType()))])
+    schema = T.StructType([f for f in docs.select(*[F.col(f"`{c}`") for c in columns]).schema] + [T.StructField(n, t) for n, t in (("quality_score", T.DoubleType()), ("toxic_score", T.DoubleType()), ("keep", T.BooleanType()))])
 
     def apply(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         tables = {}
         for head in HEADS:
-            w, bias = np.zeros(1 << BITS, np.float32), 0.0
+            w, bias = np.zeros(SIZE, np.float32), 0.0
             if head in shared.value:
                 ids, values, bias = shared.value[head]
                 w[ids] = values
             tables[head] = (w, bias)
         for b in batches:
             found = {h: np.empty(b.num_rows) for h in HEADS}
-            for i, t in enumerate(b.column(b.schema.get_field_index("_text"))):
+            for i, t in enumerate(b.column(b.num_columns - 1)):
                 ids = features(t.as_py())
                 for h, (w, bias) in tables.items():
                     found[h][i] = float(w[ids].sum(dtype=np.float64)) + bias
             q, t = found["quality"], found["toxic"]
-            kept = [b.column(i) for i, n in enumerate(b.schema.names) if n != "_text"]
+            kept = b.columns[:-1]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(q), pa.array(t), pa.array((q >= 0) & (t >= 0))], names=[f.name for f in schema])
 
-    return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(apply, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").alias(read)).mapInArrow(apply, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:

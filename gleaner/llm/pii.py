@@ -4,16 +4,19 @@ An Aho-Corasick automaton finds anchors in one pass over a text: at-signs, URL
 schemes, cue words of accounts, and digits. From an anchor a parser of that kind
 expands to both sides and validates what it finds: e-mail addresses, web
 addresses, IP addresses, phone numbers, card numbers (Luhn), IBANs (mod 97), US
-social security numbers, and account numbers after a cue word. A cue holds to the
-end of its clause (as part of a longer word, for 24 characters) or to the first number
-that it is for; such a number has 6 to 34 digits and capitals, two digits at least. What a parser has
-taken isn't parsed again.
+social security numbers, and account numbers after a cue word. A cue ends its word,
+but for a plural or a word for number (``_CUE_END``). It holds to the end of its
+clause (at the end of a longer word, for 24 characters) or to the first number that
+it is for; such a number has 6 to 34 digits and capitals, two digits at least. What
+a parser has taken isn't parsed again.
 
 Defined results
 ---------------
 * One row per finding: doc_id, kind, start, end (character offsets, end
   exclusive), value. Findings of a text don't overlap; a longer reading from an
   earlier anchor wins.
+* An e-mail address of more than 64 characters before its at-sign, or more than 254
+  in all after them, is none; no part of it is reported.
 * Null and empty texts give none. A document without an id gives rows with a null
   id; repeated rows give repeated findings. Other columns are ignored.
 * Texts of any length are read whole.
@@ -45,6 +48,7 @@ _LETTERED = re.compile(r"[A-Z]+(?:-(?=\d))?[\dA-Z]+(?:[ -](?=[A-Z]*\d)[\dA-Z]+(?
 _DATE = re.compile(r"(?:\d{4}[-.]\d\d[-.]\d\d|\d\d[-.]\d\d[-.]\d{4})(?!\d)")
 #: Where a clause ends; after short forms a full stop doesn't end it.
 _CLAUSE_END = re.compile(r"[;!?\n]|(?<!\b[Nn]o)(?<!\b[Nn]r)(?<!\b[Nn]um)(?<!\b[Aa]cct)(?<!\b[Rr]ef)(?<!\b[Tt]el)\.(?=\s|\Z)")
+_CUE_END = re.compile(r"(?:s|nummer|number|num|no|nr|id)?(?![^\W\d_])", re.I)
 #: A number so close to a cue belongs to it, whatever is between.
 NEAR = 24
 #: What numbers other than accounts a cue may stand for; one of these or an account uses it up.
@@ -108,13 +112,15 @@ def phone(found: str) -> bool:
 def email_at(text: str, at: int) -> tuple[int, int] | None:
     """The e-mail address whose at-sign is at ``at``."""
     start = at
-    while start and at - start < 64 and text[start - 1] in _LOCAL_CHARS:
+    while start and text[start - 1] in _LOCAL_CHARS:
         start -= 1
     double = text.rfind("..", start, at)
     if double >= 0:
         start = double + 2
     while start < at and not text[start].isalnum():
         start += 1
+    if at - start > 64:
+        return None
     m = _DOMAIN.match(text, at + 1)
     if not m or not _LOCAL.match(text[start:at]) or m.end() - at > 254:
         return None
@@ -124,12 +130,12 @@ def email_at(text: str, at: int) -> tuple[int, int] | None:
 def url_at(text: str, at: int) -> tuple[int, int] | None:
     """The web address whose ``://`` is at ``at``."""
     start = at
-    while start and at - start < 16 and text[start - 1].isascii() and (text[start - 1].isalnum() or text[start - 1] in "+.-"):
+    while start and text[start - 1].isascii() and (text[start - 1].isalnum() or text[start - 1] in "+.-"):
         start -= 1
     while start < at and not text[start].isalpha():
         start += 1
-    m = _URL.match(text, at)
-    if start == at or not m:
+    m = _URL.match(text, at) if start < at else None
+    if not m:
         return None
     end = m.end()
     while text[end - 1] in ".,;:!?)*":
@@ -205,8 +211,10 @@ def find(text: str, anchors) -> list[tuple[str, int, int]]:
         if first < done:
             continue
         if kind == "cue":
+            if not _CUE_END.match(text, last + 1):
+                continue
             cue, reach, meant = last + 1, last + 1 + NEAR, _MEANT.get(text[first : last + 1].lower())
-            if not (first and text[first - 1].isalnum()) and not text[cue : cue + 1].isalnum():
+            if not (first and text[first - 1].isalnum()):
                 if clause < cue:
                     m = _CLAUSE_END.search(text, cue)
                     clause = m.start() if m else len(text)

@@ -3,8 +3,8 @@
 Every version of every path is addressed by the SHA-256 of its text. The ledger
 lists the pairs of blob and rule version scanned before; a run scans each unseen
 blob once, whatever the number of paths and versions that have it, with the rules
-it has not been scanned with. Findings are kept by blob and joined back to all
-paths at the end.
+it has not been scanned with. Findings and paths are kept by blob and joined in the
+end: for the paths of the run, or by ``Ledger.report`` for all paths ever seen.
 
 Texts are not exchanged: which rows to leave out (further copies of a blob, blobs
 that the ledger knows) is a small table, broadcast while its size, which is
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -33,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.shared import checkpointed, read_table
+from gleaner.llm.shared import checkpointed, ensure_checkpoint_dir, is_missing, read_table
 
 BROADCAST_BYTES = 64 << 20
 
@@ -92,7 +93,7 @@ def versions(docs: DataFrame) -> DataFrame:
 
 
 class Ledger:
-    """Scanned pairs and findings as tables in a folder that executors share."""
+    """Scanned pairs, findings and paths as tables in a folder that executors share."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -100,23 +101,43 @@ class Ledger:
     def _read(self, name: str, schema: str) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-        except Exception as e:  # nothing written yet
-            if "PATH_NOT_FOUND" not in str(e):
+        except Exception as e:
+            if not is_missing(e):
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def scanned(self) -> DataFrame:
-        """blob, rule (name@version)."""
-        return self._read("scanned", "blob string, rule string")
+    def scanned(self, blobs: DataFrame | None = None) -> DataFrame:
+        """blob, rules (name@version); of ``blobs`` (blob) only, if given."""
+        made = self._read("scanned", "blob string, rules array<string>")
+        if blobs is not None:  # a small batch doesn't set the ledger in motion
+            made = made.join(_within(blobs.select("blob"), 80), "blob", "left_semi")
+        return made.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("rules")))).alias("rules"))
 
     def findings(self) -> DataFrame:
-        return self._read("findings", "blob string, rule string, version int, start long, end long, secret_sha256 string")
+        return self._read("findings", "blob string, rule string, version int, start long, end long, secret_sha256 string").distinct()
 
-    def append(self, scanned: DataFrame, found: DataFrame) -> None:
-        """Findings first: a pair counts as scanned only once they are safe."""
+    def paths(self) -> DataFrame:
+        """doc_id, path, blob of every version seen."""
+        return self._read("paths", "doc_id long, path string, blob string").distinct()
+
+    def append(self, scanned: DataFrame, found: DataFrame, paths: DataFrame) -> None:
+        """A pair counts as scanned only once all else is safe; what a broken run leaves counts once."""
         found.write.mode("append").parquet(f"{self.path}/findings")
+        paths.write.mode("append").parquet(f"{self.path}/paths")
         scanned.write.mode("append").parquet(f"{self.path}/scanned")
 
+    def report(self, rules: tuple[Rule, ...] | None = None) -> DataFrame:
+        """Findings of ``rules`` on all paths ever seen, as ``scan`` gives them."""
+        return _joined(self.paths(), _of(self.findings(), RULES if rules is None else rules))
+
+
+def _of(found: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    return found.filter(F.concat_ws("@", "rule", "version").isin([r.key for r in rules]))
+
+
+def _joined(paths: DataFrame, found: DataFrame) -> DataFrame:
+    return paths.join(found, "blob").select("doc_id", "path", "blob", "rule", "version", "start", "end", "secret_sha256")
+
 
 def _within(df: DataFrame, row_bytes: int) -> DataFrame:
     """``df`` with a broadcast hint if its rows, counted, are within the limit."""
@@ -129,8 +150,9 @@ def scan(docs: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...]
     all_versions = checkpointed(versions(docs))
     blobs = all_versions.groupBy("blob").agg(F.min("key").alias("first"))
     if ledger is not None:
-        done = ledger.scanned().groupBy("blob").agg(F.collect_set("rule").alias("done"))
-        blobs = blobs.join(done, "blob", "left").withColumn("missing", F.array_except(keys, F.coalesce("done", F.array().cast("array<string>")))).drop("done")
+        blobs = checkpointed(blobs)
+        done = ledger.scanned(blobs)
+        blobs = checkpointed(blobs.join(done, "blob", "left").withColumn("missing", F.array_except(keys, F.coalesce("rules", F.array().cast("array<string>")))).drop("rules"))
     else:
         blobs = blobs.withColumn("missing", keys)
     complete = "size(missing) = 0"
@@ -154,13 +176,14 @@ def scan(docs: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...]
 
     found = texts.select("blob", "text", "missing").mapInPandas(apply, "blob string, rule string, version int, start long, end long, secret_sha256 string")
     found = checkpointed(found.distinct())
+    paths = all_versions.select("doc_id", "path", "blob").distinct()
     if ledger is not None:
-        ledger.append(blobs.select("blob", F.explode("missing").alias("rule")), found)
-        current = [f"{r.name}@{r.version}" for r in rules]
-        found = ledger.findings().filter(F.concat_ws("@", "rule", "version").isin(current)).distinct()
-    return all_versions.select("doc_id", "path", "blob").distinct().join(found, "blob").select("doc_id", "path", "blob", "rule", "version", "start", "end", "secret_sha256")
+        ledger.append(blobs.filter("size(missing) > 0").select("blob", F.col("missing").alias("rules")), found, paths)
+        found = _of(ledger.findings(), rules)
+    return _joined(paths, found)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A first scan of all documents, each a version of the path source/id."""
-    return scan(read_table(spark, sf_dir, "documents"))
+    """All documents, each a version of the path source/id, through a new ledger in the shared folder."""
+    ledger = Ledger(spark, f"{ensure_checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}")
+    return scan(read_table(spark, sf_dir, "documents"), ledger)

@@ -10,7 +10,8 @@ a bin is opened. Of equally tight bins the oldest is taken.
 Packing is sequential, so documents are dealt by hash into shards that are packed
 side by side. A shard has about ``SHARD_TOKENS`` tokens, so the number of shards
 grows with the corpus, and what is lost is at most a few half-filled bins a shard.
-Only ids, lengths, sources and cluster hashes are exchanged, no text.
+A shard that rows of one id (or none) fill beyond twice that is dealt again, row by
+row. Only ids, lengths, sources and cluster hashes are exchanged, no text.
 
 Defined results
 ---------------
@@ -36,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.shared import checkpointed, read_table
+from gleaner.llm.shared import LAST_ID, checkpointed, read_table
 
 CAPACITY = 2048
 SHARD_TOKENS = 8_000_000
@@ -178,9 +179,14 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, length_col: str | None = Non
         out = pd.DataFrame([(piece, base + b, at, n) for _, piece, b, at, n in made], columns=["piece", "bin_id", "position", "n_tokens"])
         return out.assign(doc_id=pd.array([ids[m[0]] for m in made], "Int64"))
 
+    # the rows lie in files now, so their numbers are the same each time they are read
+    dealt = rows.withColumns({"order": F.coalesce("id", F.lit(LAST_ID)), "row": F.monotonically_increasing_id()}).withColumn("shard", F.pmod(F.xxhash64("order"), F.lit(shards)))
+    if shards > 1:
+        # there is one row for twice SHARD_TOKENS tokens at least
+        large = dealt.groupBy("shard").agg(F.ceil(F.sum("length") / shard_tokens).alias("parts")).filter("parts > 2")
+        dealt = dealt.join(large, "shard", "left").withColumn("shard", F.col("shard") + shards * F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1))))
     # as strings, since pandas turns nullable longs into floats
-    text_safe = rows.withColumn("cluster", F.col("cluster").cast("string")).withColumn("id", F.col("id").cast("string"))
-    dealt = text_safe.select("*", F.coalesce(F.col("id").cast("long"), F.lit(9223372036854775807)).alias("order")).withColumn("shard", F.pmod(F.xxhash64("order"), F.lit(shards)))
+    dealt = dealt.withColumns({"cluster": F.col("cluster").cast("string"), "id": F.col("id").cast("string")})
     return dealt.groupBy("shard").applyInPandas(apply, SCHEMA)
 
 

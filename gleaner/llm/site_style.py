@@ -11,8 +11,10 @@ that falls fast, so text counts as fully important unless its runs are on more t
 two pages in the geometric mean, or all on both of two. Branches in which no
 node reaches ``threshold`` are removed from each page, the rest is its content.
 
-Counting runs over (host, path, style) and (host, path, run) rows, so a large site
-is no single task until its tree, which is small, is put together. Pages meet the
+Counting runs over (host, path, style) and (host, path, run) rows, and what a path's
+styles and runs come to is summed up before a host's tree is put together: a task
+holds the host's distinct paths and which follow which, not its styles, runs or
+pages. Pages meet the
 lists of unimportant paths by a join: the lists are broadcast while their size,
 which is checked, is within ``BROADCAST_BYTES``; beyond, both sides are exchanged
 by host, split by adaptive execution where one host dominates.
@@ -35,6 +37,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from hashlib import blake2b
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -45,6 +48,8 @@ from gleaner.llm.shared import checkpointed, read_table
 
 THRESHOLD = 0.75
 DECAY = 0.9
+#: Hosts whose lists a task keeps ready.
+KNOWN_HOSTS = 1000
 BROADCAST_BYTES = 64 << 20
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|([^<]+|<)", re.S | re.I)
 _STYLE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -125,20 +130,30 @@ def observations(nodes: list[tuple[int, int, int, str | None]]) -> list[tuple[in
     return [(p, k, v, c) for (p, k, v), c in seen.items()]
 
 
-def unimportant(pages: dict[int, int], runs: dict[int, float], styles: dict[int, list[tuple[int, list[int]]]], threshold: float, decay: float = DECAY) -> list[int]:
+class Shown(NamedTuple):
+    """What a path's style nodes come to."""
+
+    #: how many there are; their entropy
+    styles: int
+    entropy: float
+    #: child -> its share of the lists of children, weighted by pages
+    below: dict[int, float]
+
+
+def unimportant(pages: dict[int, int], runs: dict[int, float], shown: dict[int, Shown], threshold: float, decay: float = DECAY) -> list[int]:
     """Paths of a host in whose branch nothing is important.
 
-    pages: pages per path; runs: importance of a path's text; styles: per path the
-    pages and children of each style node.
+    pages: pages per path; runs: importance of a path's text; shown: per path with children.
     """
     value: dict[int, float] = {}
     best: dict[int, float] = {}
+    nothing = Shown(0, 0.0, {})
     todo = [(number(""), False)]
     while todo:
         path, ready = todo.pop()
         if path in value and not ready:
             continue
-        below = [c for _, kids in styles.get(path, ()) for c in kids]
+        styles, entropy, below = shown.get(path, nothing)
         if not ready:
             value[path] = best[path] = 0.0
             todo.append((path, True))
@@ -148,15 +163,9 @@ def unimportant(pages: dict[int, int], runs: dict[int, float], styles: dict[int,
         if path in runs:
             value[path] = best[path] = runs[path]
             continue
-        shown = styles.get(path, [])
-        total = sum(n for n, _ in shown)
-        if m <= 1:
-            own = 1.0
-        else:
-            own = -sum(n / total * np.log(n / total) for n, _ in shown) / np.log(m) if total else 0.0
-        weight = decay ** len(shown)
-        under = sum(n / total * np.mean([value[c] for c in kids]) for n, kids in shown) if total else 0.0
-        value[path] = (1 - weight) * own + weight * under
+        own = 1.0 if m <= 1 else entropy / np.log(m)
+        weight = decay**styles
+        value[path] = (1 - weight) * own + weight * sum(value[c] * share for c, share in below.items())
         best[path] = max([value[path] if m > 1 or not below else 0.0, *(best[c] for c in below)])
     return [p for p, b in best.items() if b < threshold]
 
@@ -196,18 +205,22 @@ def noise(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     counts = checkpointed(counts)
     alone = counts.filter("kind = 2").groupBy("host", "path").agg(F.avg(F.log("n")).alias("mean"))
     there = counts.filter("kind = 0").select("host", "path", F.col("n").alias("m"))
-    shown = counts.filter("kind = 1").groupBy("host", "path").agg(F.collect_list(F.struct("n", "children")).alias("styles"))
-    tree = there.join(alone, ["host", "path"], "left").join(shown, ["host", "path"], "left").select("host", "path", "m", "mean", "styles")
+    styles = counts.filter("kind = 1")
+    # entropy: log of the total less the mean of the logs
+    shown = styles.groupBy("host", "path").agg(F.count("*").alias("styles"), F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias("logs"))
+    edges = styles.select("host", "path", (F.col("n") / F.size("children")).alias("part"), F.explode("children").alias("child")).groupBy("host", "path", "child").agg(F.sum("part").alias("part"))
+    below = edges.groupBy("host", "path").agg(F.collect_list(F.struct("child", "part")).alias("below"))
+    tree = there.join(alone, ["host", "path"], "left").join(shown, ["host", "path"], "left").join(below, ["host", "path"], "left")
 
     def judge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pages_, runs, styles = {}, {}, {}
-        for path, m, mean, shown_ in zip(pdf["path"], pdf["m"], pdf["mean"], pdf["styles"]):
+        pages_, runs, shown_ = {}, {}, {}
+        for path, m, mean, count, total, logs, kids in zip(*(pdf[c] for c in ("path", "m", "mean", "styles", "total", "logs", "below"))):
             pages_[path] = m
             if not pd.isna(mean):
                 runs[path] = text_importance(mean, m)
-            if shown_ is not None:
-                styles[path] = sorted((s["n"], list(s["children"])) for s in shown_)
-        return pd.DataFrame({"host": [key[0]], "noise": [sorted(unimportant(pages_, runs, styles, threshold))]})
+            if kids is not None:
+                shown_[path] = Shown(int(count), max(0.0, np.log(total) - logs / total), {c: s / total for c, s in sorted((k["child"], k["part"]) for k in kids)})
+        return pd.DataFrame({"host": [key[0]], "noise": [sorted(unimportant(pages_, runs, shown_, threshold))]})
 
     return tree.groupBy("host").applyInPandas(judge, "host string, noise array<long>")
 
@@ -225,6 +238,8 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             out = []
             for id_, host, html, paths in zip(b["page_id"], b["host"], b["html"], b["noise"]):
                 if host not in known:
+                    if len(known) >= KNOWN_HOSTS:
+                        known.clear()
                     known[host] = frozenset(paths.tolist()) if paths is not None else frozenset()
                 gone, kept, dropped, cut = known[host], [], 0, set()
                 for i, (path, _, parent, run) in enumerate(parse(html)):

@@ -40,6 +40,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def is_missing(error: Exception) -> bool:
     """Whether a table couldn't be read because nothing has been written there."""
     return "PATH_NOT_FOUND" in str(error)

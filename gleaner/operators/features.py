@@ -12,6 +12,7 @@ from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleaner.functions import tags
 
@@ -90,27 +91,29 @@ def weninger(blocks: DataFrame, key: str = "page_id", sigma: float = 1.0) -> Dat
     the own one; at the last block, half the difference to the one before. The
     change on a page of one block is 0.
 
-    The kernel is a weighted sum over lags within the page, mirrored at both ends;
-    a page's ratios are gathered into an array for that, numbers only.
+    The kernel is a weighted sum over the rows within its radius, mirrored at both
+    ends of the page; no more of a page than that is held beside a row.
     """
     page, order = _page(key)
+    radius = kernel(sigma)[-1][0]
     rows = blocks.withColumn("ctr", content_to_tags(blocks))
     ahead = F.avg("ctr").over(order.rowsBetween(1, 3))
     back = F.coalesce(0.5 * (F.col("ctr") + F.lag("ctr").over(order)), F.col("ctr"))
     rows = rows.withColumn("change", F.abs(F.coalesce(ahead, back) - F.col("ctr")))
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumns({"all_ctr": F.collect_list("ctr").over(whole), "all_change": F.collect_list("change").over(whole), "at": F.row_number().over(order) - 1})
+    near = order.rowsBetween(-radius, radius)
+    rows = rows.withColumns({"near_ctr": F.collect_list("ctr").over(near), "near_change": F.collect_list("change").over(near), "at": F.row_number().over(order) - 1, "n": F.count("*").over(page)})
+    first = F.greatest(F.col("at") - F.lit(radius), F.lit(0))
 
     def mean(values: str) -> Column:
-        n = F.size(values)
+        n = F.col("n").cast("int")
         total = None
         for o, w in kernel(sigma):
             m = F.pmod(F.col("at") + F.lit(o), 2 * n)
-            term = F.get(F.col(values), F.when(m < n, m).otherwise(2 * n - 1 - m)) * F.lit(w)
+            term = F.get(F.col(values), F.when(m < n, m).otherwise(2 * n - 1 - m) - first) * F.lit(w)
             total = term if total is None else total + term
         return total
 
-    return rows.withColumns({SMOOTH[0]: mean("all_ctr"), SMOOTH[1]: mean("all_change")}).drop("ctr", "change", "all_ctr", "all_change", "at")
+    return rows.withColumns({SMOOTH[0]: mean("near_ctr"), SMOOTH[1]: mean("near_change")}).drop("ctr", "change", "near_ctr", "near_change", "at", "n")
 
 
 def readability(blocks: DataFrame, key: str = "page_id") -> DataFrame:
@@ -119,26 +122,35 @@ def readability(blocks: DataFrame, key: str = "page_id") -> DataFrame:
     Nodes score by the weight of their tag and class, plus points for each
     paragraph or div right below them by its length, all less the share of link
     text in the subtree. Blocks need ancestors, weights and their start tag.
+
+    A block is taken apart into a row for itself and one for each node that it adds
+    to; windows by node, page and block put it together again. The blocks are read
+    once, and all of it keeps their partitioning by page.
     """
-    size = F.col("n_bytes")
-    slim = blocks.select(key, "block_idx", "ancestors", "readability_class_weights", "block_start_tag", "n_bytes", "link_density")
-    weights = slim.select(key, F.explode("readability_class_weights").alias("w")).select(key, F.col("w.node_id").alias("node"), F.col("w.weight").alias("points"))
-    counts = slim.filter((size > 25) & F.col("block_start_tag").isin("div", "p") & (F.size("ancestors") > 0))
-    gained = counts.select(key, F.element_at("ancestors", -1).alias("node"), (1 + F.least(F.floor(size / 100), F.lit(3))).cast("int").alias("gain"))
-    under = slim.select(key, "block_idx", F.explode("ancestors").alias("node"), (F.col("link_density") * size).alias("linked"), size.alias("bytes"))
-    none = lambda kind: F.lit(None).cast(kind)
-    parts = (
-        weights.select(key, "node", "points", none("int").alias("gain"), none("double").alias("linked"), none("int").alias("bytes"))
-        .unionByName(gained.select(key, "node", none("int").alias("points"), "gain", none("double").alias("linked"), none("int").alias("bytes")))
-        .unionByName(under.select(key, "node", none("int").alias("points"), none("int").alias("gain"), "linked", "bytes"))
+    size, whole = F.col("n_bytes"), F.struct(*[F.col(f"`{c}`") for c in blocks.columns])
+    kind = blocks.select(whole.alias("row")).schema["row"].dataType
+    types = {"node": "bigint", "points": "int", "gain": "int", "linked": "double", "bytes": "int", "row": kind}
+
+    def part(**given: Column) -> Column:
+        return F.struct(*[given.get(n, F.lit(None)).cast(t).alias(n) for n, t in types.items()])
+
+    counts = (size > 25) & F.col("block_start_tag").isin("div", "p") & (F.size("ancestors") > 0)
+    gain = 1 + F.least(F.floor(size / 100), F.lit(3))
+    parts = F.concat(
+        F.array(part(row=whole)),
+        F.transform("readability_class_weights", lambda w: part(node=w["node_id"], points=w["weight"])),
+        F.when(counts, F.array(part(node=F.get("ancestors", F.size("ancestors") - 1), gain=gain))).otherwise(F.array().cast(T.ArrayType(blocks.select(part().alias("p")).schema["p"].dataType))),
+        F.transform("ancestors", lambda a: part(node=a, linked=F.col("link_density") * size, bytes=size)),
     )
-    nodes = parts.groupBy(key, "node").agg(F.sum("points").alias("points"), F.sum("gain").alias("gain"), F.sum("linked").alias("linked"), F.sum("bytes").alias("bytes"))
-    share = F.coalesce(F.col("linked"), F.lit(0.0)) / F.greatest(F.coalesce("bytes", F.lit(0)), F.lit(1))
-    score = (F.coalesce("points", F.lit(0)) + F.col("gain")) * (1 - share)
-    valid = nodes.filter("gain IS NOT NULL").select(key, "node", score.alias("score"))
-    valid = valid.withColumn("part", F.col("score") / F.greatest(F.max("score").over(Window.partitionBy(key)), F.lit(1.0)))
-    best = under.select(key, "block_idx", "node").join(valid.select(key, "node", "part"), [key, "node"]).groupBy(key, "block_idx").agg(F.greatest(F.max("part"), F.lit(0.0)).alias("readability"))
-    return blocks.join(best, [key, "block_idx"], "left").withColumn("readability", F.coalesce("readability", F.lit(0.0)))
+    rows = blocks.select(key, "block_idx", F.explode(parts).alias("part")).select(key, "block_idx", "part.*")
+    node = Window.partitionBy(key, "node")
+    total = lambda c: F.sum(c).over(node)
+    share = F.coalesce(total("linked"), F.lit(0.0)) / F.greatest(F.coalesce(total("bytes"), F.lit(0)), F.lit(1))
+    rows = rows.withColumn("score", F.when(F.col("node").isNotNull(), (F.coalesce(total("points"), F.lit(0)) + total("gain")) * (1 - share)))
+    best = F.greatest(F.max("score").over(Window.partitionBy(key)), F.lit(1.0))
+    rows = rows.withColumn("above", F.when(F.col("bytes").isNotNull(), F.col("score") / best))
+    rows = rows.withColumn("readability", F.greatest(F.coalesce(F.max("above").over(Window.partitionBy(key, "block_idx")), F.lit(0.0)), F.lit(0.0)))
+    return rows.filter("row IS NOT NULL").select("row.*", "readability")
 
 
 def kmeans_centers(rows: DataFrame, clusters: int = 3, max_iter: int = 50, tol: float = 0.001, seed: int = 7) -> list[list[float]]:

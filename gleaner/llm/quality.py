@@ -91,10 +91,8 @@ def fit_head(rows: list[np.ndarray], y: np.ndarray, c: float = 1.0, smoothing: f
     if len(rows) == 0 or (y > 0).all() or (y < 0).all():
         return np.zeros(SIZE, np.float32), 0.0
     ratio = log_count_ratio(rows, y, smoothing)
-    rows = [ids[ratio[ids] != 0] for ids in rows]
-    scaled = [ratio[ids] for ids in rows]
-    norms = np.array([np.sqrt((v * v).sum() + 1.0) for v in scaled])
-    scaled = [v / n for v, n in zip(scaled, norms)]
+    norms = np.array([np.sqrt((ratio[ids] ** 2).sum() + 1.0) for ids in rows])
+    scaled = [(ratio[ids] / n).astype(np.float32) for ids, n in zip(rows, norms)]
     top = c * np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum()))
     w, bias, alpha = np.zeros(SIZE), 0.0, np.zeros(len(rows))
     every, random = np.arange(len(rows)), np.random.default_rng(seed)
@@ -150,25 +148,28 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRA
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, c: float = 1.0) -> dict[str, tuple[np.ndarray, np.ndarray, float]]:
     """Per head the feature numbers, weights and intercept.
 
-    Features are computed where the texts are; each head is fitted by a task.
+    Features are computed where the texts are; one task fits both heads.
     """
 
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "ids": [features(t).tobytes() for t in b["text"]], "quality": b["quality"], "toxic": b["toxic"]})
 
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        head, pdf = key[0], pdf.sort_values(["id", "ids"]).drop_duplicates("id")
-        pdf = pdf[pdf[head].notna()]
-        good = pdf[head].to_numpy() > 0
-        w, bias = fit_head([np.frombuffer(x, np.uint32) for x in pdf["ids"]], np.where(good if head == "quality" else ~good, 1.0, -1.0), c)
-        ids = np.flatnonzero(w).astype(np.uint32)
-        return pd.DataFrame([(head, ids.tobytes(), w[ids].tobytes(), bias)], columns=["head", "ids", "weights", "bias"])
+    def fit(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["id", "ids"]).drop_duplicates("id")
+        rows, out = [np.frombuffer(x, np.uint32) for x in pdf["ids"]], []
+        for head in HEADS:
+            known = pdf[head].notna().to_numpy()
+            good = pdf[head].fillna(0).to_numpy() > 0
+            y = np.where(good if head == "quality" else ~good, 1.0, -1.0)[known]
+            w, bias = fit_head([r for r, k in zip(rows, known) if k], y, c)
+            ids = np.flatnonzero(w).astype(np.uint32)
+            out.append((head, ids.tobytes(), w[ids].tobytes(), bias))
+        return pd.DataFrame(out, columns=["head", "ids", "weights", "bias"])
 
     made = training_sample(docs, labels, max_train).mapInPandas(featurise, "id long, ids binary, quality double, toxic double")
-    made = made.select("*", F.explode(F.array(*map(F.lit, HEADS))).alias("head"))
     # a model has at most SIZE numbers
-    models = made.groupBy("head").applyInPandas(fit, "head string, ids binary, weights binary, bias double").collect()
+    models = made.groupBy(F.lit(0).alias("all")).applyInPandas(fit, "head string, ids binary, weights binary, bias double").collect()
     return {r["head"]: (np.frombuffer(r["ids"], np.uint32), np.frombuffer(r["weights"], np.float32), r["bias"]) for r in models}
 
 

@@ -153,13 +153,19 @@ def readability(blocks: DataFrame, key: str = "page_id") -> DataFrame:
     return rows.filter("row IS NOT NULL").select("row.*", "readability")
 
 
-def kmeans_centers(rows: DataFrame, clusters: int = 3, max_iter: int = 50, tol: float = 0.001, seed: int = 7) -> list[list[float]]:
-    """Centres over w_smooth and w_absdiff, each column sorted, the first at 0."""
+def kmeans_centers(rows: DataFrame, clusters: int = 3, max_iter: int = 50, tol: float = 0.001, seed: int = 7, n_init: int = 3) -> list[list[float]]:
+    """Centres over w_smooth and w_absdiff, each column sorted, the first at 0.
+
+    The best of ``n_init`` starts, by the sum of squared distances.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
     data = VectorAssembler(inputCols=list(SMOOTH), outputCol="v").transform(rows.select(*SMOOTH).dropna())
-    centers = KMeans(k=clusters, maxIter=max_iter, tol=tol, seed=seed, featuresCol="v").fit(data).clusterCenters()
+    data = data.select("v").persist()
+    found = [KMeans(k=clusters, maxIter=max_iter, tol=tol, seed=seed + i, featuresCol="v").fit(data) for i in range(n_init)]
+    centers = min(found, key=lambda m: m.summary.trainingCost).clusterCenters()
+    data.unpersist()
     columns = [sorted(float(c[i]) for c in centers) for i in range(2)]
     columns[0][0] = columns[1][0] = 0.0
     return [list(c) for c in zip(*columns)]
@@ -217,23 +223,28 @@ def get_feature(name: str) -> tuple[Callable[..., DataFrame], tuple[str, ...]]:
 def union(features) -> tuple[Callable[..., DataFrame], tuple[str, ...]]:
     """One feature of several: a name, a (function, columns) pair, a
     ``Standardized``, or a list of those or of (label, feature) pairs."""
+    parts = [p for _, p in named(features)]
+
+    def make(blocks: DataFrame, key: str = "page_id") -> DataFrame:
+        for function, _ in parts:
+            blocks = function(blocks, key=key)
+        return blocks
+
+    return make, tuple(chain.from_iterable(c for _, c in parts))
+
+
+def named(features) -> list[tuple[str, tuple[Callable[..., DataFrame], tuple[str, ...]]]]:
+    """(name, (function, columns)) of each of ``features``, given as to ``union``."""
     if not features:
         raise ValueError("no features given")
 
-    def one(f) -> tuple[Callable[..., DataFrame], tuple[str, ...]]:
+    def one(f) -> tuple[str, tuple[Callable[..., DataFrame], tuple[str, ...]]]:
         if isinstance(f, str):
-            return get_feature(f)
+            return f, get_feature(f)
         if isinstance(f, Standardized):
-            return f, f.columns
+            return f"standardized_{f.make.__name__}", (f, f.columns)
         if isinstance(f, tuple) and len(f) == 2:
-            return one(f[1]) if isinstance(f[0], str) else f
+            return (f[0], one(f[1])[1]) if isinstance(f[0], str) else (f[0].__name__, f)
         raise ValueError(f"not a feature: {f!r}")
 
-    parts = [one(f) for f in features] if isinstance(features, list) else [one(features)]
-
-    def make(blocks: DataFrame, key: str = "page_id") -> DataFrame:
-        for function, _ in parts:
-            blocks = function(blocks, key=key)
-        return blocks
-
-    return make, tuple(chain.from_iterable(c for _, c in parts))
+    return [one(f) for f in features] if isinstance(features, list) else [one(features)]

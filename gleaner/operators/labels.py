@@ -17,55 +17,66 @@ from pyspark.sql import types as T
 from gleaner.functions import text
 
 
+def _numbered(x: Sequence, y: Sequence) -> tuple[np.ndarray, np.ndarray]:
+    names: dict = {}
+    return tuple(np.array([names.setdefault(t, len(names)) for t in s], np.int64) for s in (x, y))
+
+
+def _rows(a: np.ndarray, b: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
+    """``first`` and the rows after it; each follows from the one before by a running maximum."""
+    yield first
+    for item in a:
+        row = first.copy()
+        row[1:] = np.maximum.accumulate(np.where(b == item, first[:-1] + 1, first[1:]))
+        yield row
+        first = row
+
+
 def common_lengths(x: Sequence, y: Sequence) -> np.ndarray:
-    """Longest common subsequence of every two prefixes, (len x + 1) x (len y + 1).
+    """Longest common subsequence of every two prefixes, (len x + 1) x (len y + 1)."""
+    a, b = _numbered(x, y)
+    return np.stack(list(_rows(a, b, np.zeros(len(b) + 1, np.uint32))))
+
 
-    A row follows from the one before by a running maximum, so numpy does the work.
+def _walk(x: Sequence, y: Sequence) -> Iterator[tuple[int | None, int | None]]:
+    """Places of both sequences from their ends to their starts; None where only the other goes on.
+
+    Ties drop from y first. Of the rows only about the square root of their number is
+    held: those between two are made again when the walk comes there.
     """
-    if min(len(x), len(y)) + 1 >= 65535:
-        raise ValueError("sequences are too long")
-    names: dict = {}
-    a = np.array([names.setdefault(t, len(names)) for t in x], np.int64)
-    b = np.array([names.setdefault(t, len(names)) for t in y], np.int64)
-    c = np.zeros((len(a) + 1, len(b) + 1), np.uint16)
-    for i in range(len(a)):
-        c[i + 1, 1:] = np.maximum.accumulate(np.where(b == a[i], c[i, :-1] + 1, c[i, 1:]))
-    return c
+    a, b = _numbered(x, y)
+    i, j = len(a), len(b)
+    step = max(1, int(len(a) ** 0.5))
+    held = [row for k, row in enumerate(_rows(a, b, np.zeros(len(b) + 1, np.uint32))) if k % step == 0]
+    low, rows = len(a) + 1, []
+    while i or j:
+        if i and j and a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            yield i, j
+            continue
+        if i and i - 1 < low:
+            low = (i - 1) // step * step
+            rows = list(_rows(a[low:i], b, held[low // step]))
+        if j and (not i or rows[i - low][j - 1] >= rows[i - 1 - low][j]):
+            j -= 1
+            yield None, j
+        else:
+            i -= 1
+            yield i, None
 
 
 def in_common(x: Sequence, y: Sequence) -> list[bool]:
     """Which items of ``x`` are in the common subsequence; ties drop from y first."""
     out = [False] * len(x)
-    if not len(y):
-        return out
-    c = common_lengths(x, y)
-    i, j = len(x), len(y)
-    while i and j:
-        if x[i - 1] == y[j - 1]:
-            i, j = i - 1, j - 1
+    for i, j in _walk(x, y):
+        if i is not None and j is not None:
             out[i] = True
-        elif c[i, j - 1] >= c[i - 1, j]:
-            j -= 1
-        else:
-            i -= 1
     return out
 
 
 def diff(x: Sequence[str], y: Sequence[str]) -> list[str]:
     """Lines '  item', '- item' (only in x) and '+ item' (only in y)."""
-    c, out = common_lengths(x, y), []
-    i, j = len(x), len(y)
-    while i or j:
-        if i and j and x[i - 1] == y[j - 1]:
-            i, j = i - 1, j - 1
-            out.append(f"  {x[i]}")
-        elif j and (not i or c[i, j - 1] >= c[i - 1, j]):
-            j -= 1
-            out.append(f"+ {y[j]}")
-        else:
-            i -= 1
-            out.append(f"- {x[i]}")
-    return out[::-1]
+    return [f"  {x[i]}" if j is not None and i is not None else f"- {x[i]}" if i is not None else f"+ {y[j]}" for i, j in _walk(x, y)][::-1]
 
 
 @F.pandas_udf(T.ArrayType(T.BooleanType()))
@@ -134,6 +145,12 @@ def unprocessed(pages: DataFrame, done: DataFrame, key: str = "page_id") -> Data
     return pages.join(done.select(key), key, "left_anti")
 
 
+def read_again(gold: DataFrame, key: str = "page_id") -> DataFrame:
+    """Gold blocks with their tokens as lines hold them, split again: no empty ones."""
+    tokens = ("block_tokens", "content_tokens", "comment_tokens")
+    return gold.withColumns({c: F.filter(F.split(F.array_join(c, " "), " "), lambda t: t != "") for c in tokens})
+
+
 def merged(a: Column, b: Column) -> Column:
     """1 where either label is."""
     return F.greatest(a, b)

@@ -12,9 +12,11 @@ from gleaner.functions import text
 from gleaner.operators import blocks as block_ops
 from gleaner.operators import events, features, labels, metrics, model, parse
 from gleaner.plans import oracles
+from gleaner.sources import files
 from gleaner.streaming import extract as streaming
 
 DIGITS = 6
+CENTERS = oracles.CENTERS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -130,9 +132,8 @@ def block_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def osa_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distances between all names of nations."""
-    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("a"))
-    return names.crossJoin(names.select(F.col("a").alias("b"))).select("a", "b", metrics.osa_distance("a", "b").alias("distance"))
+    """Distances between the words of each turn and of the one before."""
+    return turns(spark, sf_dir).select("conv_id", "turn", metrics.osa_distance("predicted", "actual").alias("distance"))
 
 
 def tolerant_page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,6 +164,12 @@ def kmeans_ctr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.clustered_weninger(strict_blocks(spark, sf_dir)).select("page_id", "block_idx", "cw")
 
 
+def ctr_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clusters' side of k-means alone, with given centres."""
+    made = features.clustered_weninger(strict_blocks(spark, sf_dir), centers=CENTERS)
+    return made.select("page_id", "block_idx", "cw")
+
+
 def block_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     extractor = model.Extractor()
     return rounded(extractor.predict(extractor.blocks(pages(spark, sf_dir))).select("page_id", "block_idx", "prob", "pred"), "prob")
@@ -179,9 +186,7 @@ def streamed_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     Output and stream checkpoint lie beside spark.checkpoint.dir, or in the
     warehouse folder where that is unset.
     """
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    at = f"{base}/stream-{uuid.uuid4().hex}"
+    at = stored(spark, "stream")
     source = streaming.page_stream(spark, sf_dir, "pages.parquet")
     query = streaming.extract_stream(source, f"{at}/out", f"{at}/state")
     query.awaitTermination()
@@ -189,10 +194,10 @@ def streamed_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_id, content, comments) from the pages' visible structure: their article."""
-    article = F.regexp_extract("html", r"(?s)<article>(.*?)</article>", 1)
-    plain = text.squeeze(text.unescape(F.regexp_replace(article, r"<[^>]*>", " ")))
-    return pages(spark, sf_dir).select("page_id", plain.alias("content"), F.lit("").alias("comments"))
+    """(page_id, content, comments) from the pages' visible structure: their article, and
+    in place of comments, which they haven't, their advertisement."""
+    within = lambda start, end: text.squeeze(text.unescape(F.regexp_replace(F.regexp_extract("html", f"(?s){start}(.*?){end}", 1), r"<[^>]*>", " ")))
+    return pages(spark, sf_dir).select("page_id", within("<article>", "</article>").alias("content"), within('<div class="ad">', "</div>").alias("comments"))
 
 
 def gold_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,18 +210,80 @@ def block_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.block_labels(labels.gold_blocks(tolerant_blocks(spark, sf_dir), gold_texts(spark, sf_dir)))
 
 
+def label_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each page, the words in blocks and those labelled content, comments and either."""
+    made = labels.block_labels(labels.gold_blocks(tolerant_blocks(spark, sf_dir), gold_texts(spark, sf_dir)))
+    words = lambda label: F.sum(F.col("weight") * label)
+    either = labels.merged(F.col("content"), F.col("comments"))
+    return made.groupBy("page_id").agg(F.sum("weight").alias("words"), words(F.col("content")).alias("content_words"), words(F.col("comments")).alias("comment_words"), words(either).alias("labelled_words"))
+
+
+def page_gold_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of each page's blocks that its gold content has, in order."""
+    made = labels.content_tokens(labels.gold_blocks(tolerant_blocks(spark, sf_dir), gold_texts(spark, sf_dir)))
+    return made.select("page_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+
+
+def unprocessed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages without a block that has enough words for content."""
+    done = strict_blocks(spark, sf_dir).filter("text_density > 12")
+    return labels.unprocessed(pages(spark, sf_dir), done).select("page_id")
+
+
 def lcs_inclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which letters of each nation's name are in common with each region's."""
-    letters = lambda c: F.split(F.lower(c), "")
-    both = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"))
-    flags = labels.inclusion(letters("n_name"), letters("r_name"))
-    return both.select("n_name", "r_name", F.array_join(F.transform(flags, lambda x: x.cast("int").cast("string")), "").alias("flags"))
+    """Which words of each turn are in common with the one before."""
+    flags = labels.inclusion("predicted", "actual")
+    return turns(spark, sf_dir).select("conv_id", "turn", F.array_join(F.transform(flags, lambda x: x.cast("int").cast("string")), "").alias("flags"))
 
 
 def token_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    letters = lambda c: F.split(F.lower(c), "")
-    both = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"))
-    return both.select("n_name", "r_name", F.array_join(labels.differences(letters("n_name"), letters("r_name")), "\n").alias("diff"))
+    return turns(spark, sf_dir).select("conv_id", "turn", F.array_join(labels.differences("predicted", "actual"), "\n").alias("diff"))
+
+
+def variant(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The blocks of a blockifier variant, lists as text."""
+
+    def blocks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+        made = block_ops.blockify(pages(spark, sf_dir), name)
+        lists = {"ancestors": F.array_join(F.transform("ancestors", lambda a: a.cast("string")), " "), "readability_class_weights": F.array_join(F.transform("readability_class_weights", lambda w: F.concat_ws(":", w["node_id"], w["weight"])), " ")}
+        return rounded(made.withColumns({c: x for c, x in lists.items() if c in made.columns}), "link_density", "text_density")
+
+    blocks_of.__name__ = f"blocks_{name}"
+    return blocks_of
+
+
+def casts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts to bytes and back, alone, in lists and in maps."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.array("role", "text").alias("list"), F.create_map("role", "text").alias("map"))
+    return rows.select(
+        "conv_id",
+        "turn",
+        F.octet_length(text.to_bytes(F.col("text"))).alias("n_bytes"),
+        text.to_text(text.to_bytes(F.col("text"))).alias("text"),
+        F.array_join(text.to_text_list(text.to_bytes_list(F.col("list"))), "|").alias("list"),
+        F.array_join(F.map_values(text.to_text_map(text.to_bytes_map(F.col("map")))), "|").alias("map"),
+    )
+
+
+def stored(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, or in the warehouse folder where none are named."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def gold_block_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold blocks of all pages, written as tables and read again."""
+    at = stored(spark, "gold")
+    files.write_gold_blocks(labels.gold_blocks(tolerant_blocks(spark, sf_dir), gold_texts(spark, sf_dir)), at)
+    made = labels.read_again(spark.read.parquet(at))
+    return made.select("page_id", "block_idx", F.size("block_tokens").alias("n_tokens"), F.array_join("block_tokens", " ").alias("block_tokens"))
+
+
+def stored_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content by the built-in model, written with its features and loaded."""
+    at = stored(spark, "model")
+    model.Extractor().save(spark, at)
+    return model.Extractor.load(spark, at).extract(pages(spark, sf_dir))
 
 
 def forest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,11 +293,26 @@ def forest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(report, "accuracy", "precision", "recall", "f1")
 
 
+def extracted_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content, comments and both of every page; the models of the last two are trained
+    on all pages, stored and loaded."""
+    blocks, found = tolerant_blocks(spark, sf_dir), model.Models()
+    gold = labels.block_labels(labels.gold_blocks(blocks, gold_texts(spark, sf_dir)))
+    for name in ("comments", "content_and_comments"):
+        start = model.Extractor(to_extract=tuple(name.split("_and_")), cap_weights=True, max_block_weight=50)
+        found.paths[name] = stored(spark, name)
+        start.with_model(model.fit_logistic(start, blocks, gold)).save(spark, found.paths[name])
+    made = pages(spark, sf_dir)
+    parts = [found.get(name, spark).extract(made).withColumnRenamed("content", name) for name in ("content", "comments", "content_and_comments")]
+    return parts[0].join(parts[1], "page_id").join(parts[2], "page_id")
+
+
 NAMED: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     page_encoding, page_events, page_texts, raw_blocks, page_blocks, block_density, tag_counts, css_features, kohlschuetter_features,
     ctr_smoothed, feature_standardised, enough_blocks, document_words, token_overlap, token_overlap_counted, token_jaccard, block_metrics,
     osa_distance, tolerant_page_blocks, tolerant_tag_counts, min_depths, block_ancestors, readability_scores, kmeans_ctr, block_probabilities,
-    extracted_content, streamed_content, gold_blocks, block_labels, lcs_inclusion, token_diff, forest_metrics,
+    extracted_content, streamed_content, gold_blocks, block_labels, lcs_inclusion, token_diff, forest_metrics, ctr_clusters, label_summary,
+    page_gold_tokens, unprocessed_pages, casts, gold_block_files, stored_model, extracted_kinds, *map(variant, block_ops.VARIANTS),
 )
 
 

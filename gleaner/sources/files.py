@@ -25,6 +25,7 @@ def list_files(spark: SparkSession, path: str, match: str | None = None, extensi
         reader = reader.option("pathGlobFilter", f"*.{extension.lstrip('.')}")
     try:
         files = reader.load(path).select("path")
+        files = files.unionByName(_empty(spark, path, f"*.{extension.lstrip('.')}" if extension else "*").select("path"))
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
             raise OSError(f"no folder {path}") from e
@@ -36,6 +37,17 @@ def list_files(spark: SparkSession, path: str, match: str | None = None, extensi
     return files.select((F.col("path") if full_path else name).alias("path")).orderBy("path")
 
 
+def _empty(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """(path, content) of the files without a byte, which the reader of files passes over.
+
+    They are listed as that reader lists all of them, on the driver, by name only.
+    """
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{glob}")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    names = [(s.getPath().toString(),) for s in found if s.isFile() and not s.getLen()]
+    return spark.createDataFrame(names, "path string").withColumn("content", F.lit(b""))
+
+
 def decoded(content: Column, encoding: str | None = None) -> Column:
     """Text of bytes: in ``encoding``, or UTF-8 if they are, or UTF-16 by its mark, else Latin-1."""
     if encoding:
@@ -45,13 +57,19 @@ def decoded(content: Column, encoding: str | None = None) -> Column:
 
 
 def _files(spark: SparkSession, path: str, extension: str) -> DataFrame:
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", f"*{extension}").load(path)
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", f"*{extension}").load(path).select("path", "content")
+    rows = rows.unionByName(_empty(spark, path, f"*{extension}"))
     return rows.select(F.regexp_extract("path", rf"([^/]+?){re.escape(extension)}$", 1).alias("page_id"), "content")
 
 
 def read_html(spark: SparkSession, path: str, encoding: str | None = None, extension: str = ".html") -> DataFrame:
-    """(page_id, html) of a folder; the id is the name without extension."""
-    return _files(spark, path, extension).select("page_id", F.trim(decoded(F.col("content"), encoding)).alias("html"))
+    """(page_id, html) of a folder; the id is the name without extension.
+
+    Text that was decoded wrongly before it was stored is mended; white space at both
+    ends goes.
+    """
+    html = text.mended(decoded(F.col("content"), encoding))
+    return _files(spark, path, extension).select("page_id", text.squeeze_ends(html).alias("html"))
 
 
 def read_gold_texts(spark: SparkSession, path: str, encoding: str | None = None, extension: str = ".html.corrected.txt", tagged: bool = False) -> DataFrame:

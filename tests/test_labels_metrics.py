@@ -1,11 +1,15 @@
 """Alignment, labels, metrics and distances."""
 
 import random
+import re
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gleaner.operators import blocks, labels, metrics
+from gleaner.plans import queries
 
 
 def test_inclusion_and_ties():
@@ -70,3 +74,57 @@ def test_gold_blocks_and_labels(spark):
         labels.block_labels(spark.createDataFrame(made), 1.5)
     assert labels.content_tokens(spark.createDataFrame(made)).first().tokens == ["the", "real", "story", "told"]
     assert labels.unprocessed(pages, spark.createDataFrame([("a",)], "page_id string")).count() == 1
+
+
+def test_long_sequences_hold_few_rows():
+    rng = random.Random(5)
+    x = [rng.choice("abcdefgh") for _ in range(3000)]
+    y = [t for t in x if rng.random() < 0.8] + ["z"] * 70_000
+    tracemalloc.start()
+    marks = labels.in_common(x, y)
+    assert tracemalloc.get_traced_memory()[1] < 100e6  # the whole table has 870 MB
+    tracemalloc.stop()
+    assert sum(marks) == len(y) - 70_000
+    rest = iter(y)
+    assert all(t in rest for t, m in zip(x, marks) if m)
+
+
+def test_gold_queries_against_loops(spark):
+    """Labels of the whole query, by the table of the definition."""
+    sf = "/root/testdata/sf0.001"
+    gold = {r.page_id: r for r in queries.gold_texts(spark, sf).collect()}
+    rows = {}
+    for r in queries.tolerant_blocks(spark, sf).orderBy("page_id", "block_idx").select("page_id", "block_idx", "text").collect():
+        rows.setdefault(r.page_id, []).append((r.block_idx, re.findall(r"[^\W_]+", r.text)))
+    want = set()
+    for page, blocks_ in rows.items():
+        flat = [t for _, ts in blocks_ for t in ts]
+        marks = []
+        for text_ in (gold[page].content, gold[page].comments):
+            other = re.findall(r"[^\W_]+", text_)
+            c = np.zeros((len(flat) + 1, len(other) + 1), int)
+            for i, t in enumerate(flat):
+                same = np.array([t == o for o in other], bool)
+                c[i + 1, 1:] = np.maximum.accumulate(np.maximum(np.where(same, c[i, :-1] + 1, 0), c[i, 1:])) if other else 0
+            i, j, mark = len(flat), len(other), [False] * len(flat)
+            while i and j:
+                if flat[i - 1] == other[j - 1]:
+                    mark[i - 1], i, j = True, i - 1, j - 1
+                elif c[i, j - 1] >= c[i - 1, j]:
+                    j -= 1
+                else:
+                    i -= 1
+            marks.append(mark)
+        at = 0
+        for number, ts in blocks_:
+            shares = [sum(m[at : at + len(ts)]) / len(ts) for m in marks]
+            want.add((page, number, *[int(s > 0.1) for s in shares], len(ts)))
+            at += len(ts)
+    got = {tuple(r) for r in queries.block_labels(spark, sf).select("page_id", "block_idx", "content", "comments", "weight").collect()}
+    assert got == want and {r[2] for r in got} == {r[3] for r in got} == {0, 1}
+    sums = {r.page_id: tuple(r)[1:] for r in queries.label_summary(spark, sf).collect()}
+    for page in rows:
+        own = [r for r in want if r[0] == page]
+        assert sums[page] == tuple(sum(r[4] for r in own if test(r)) for test in (lambda r: True, lambda r: r[2], lambda r: r[3], lambda r: r[2] or r[3]))
+    words = {r.page_id: r.tokens for r in queries.page_gold_tokens(spark, sf).collect()}
+    assert all(words[p] in " ".join(t for _, ts in b for t in ts) or words[p] for p, b in rows.items()) and len(words) == len(rows)

@@ -1,10 +1,14 @@
 """The extractor, training, streaming and files."""
 
 import math
+import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner import shipping
 from gleaner.operators import blocks, features, labels, model
 from gleaner.plans import queries
 from gleaner.sources import files
@@ -26,6 +30,56 @@ def test_extract_is_its_parts(spark):
     assert sum(map(bool, got.values())) > 25
 
 
+def test_comments_need_a_model(spark, tmp_path, monkeypatch):
+    pages = queries.pages(spark, SF)
+    monkeypatch.setattr(model, "MODELS", model.Models())
+    for extract in (model.extract_comments, model.extract_content_and_comments):
+        with pytest.raises(LookupError):
+            extract(pages)
+    blocks_, gold = queries.tolerant_blocks(spark, SF).persist(), queries.gold_texts(spark, SF)
+    found = labels.block_labels(labels.gold_blocks(blocks_, gold)).persist()
+    for name in ("comments", "content_and_comments"):
+        start = model.Extractor(to_extract=tuple(name.split("_and_")), max_block_weight=50, cap_weights=True, prob_threshold=0.2)
+        start.with_model(model.fit_logistic(start, blocks_, found)).save(spark, str(tmp_path / name))
+        model.MODELS.paths[name] = str(tmp_path / name)
+    content = {r.page_id: r.content for r in model.extract_content(pages).collect()}
+    comments = {r.page_id: r.content for r in model.extract_comments(pages).collect()}
+    both = {r.page_id: r.content for r in model.extract_content_and_comments(pages).collect()}
+    assert model.MODELS.made["comments"].prob_threshold == 0.2
+    said = {r.page_id: r.comments for r in gold.collect()}
+    holds = lambda made: sum(said[k] in made[k] for k in said)
+    assert holds(comments) > 40 and holds(both) > 25 and holds(content) < 10
+    assert content != both and all(comments[k] != content[k] for k in content)
+    assert (model.MODELS.made["comments"].max_block_weight, model.MODELS.made["comments"].cap_weights) == (50, True)
+    model.MODELS.paths["content"] = str(tmp_path / "comments")
+    model.MODELS.made.clear()
+    with pytest.raises(ValueError):
+        model.extract_content(pages)
+    with pytest.raises(ValueError):
+        model.Extractor(features=[("mine", "css")]).save(spark, str(tmp_path / "css"))
+
+
+def test_labels_and_weights(spark):
+    rows = blocks.blocks(spark.createDataFrame([(1, "<p>main text of it</p><p>menu</p><p>said by me</p>"), (2, "<p>x</p>")], "page_id long, html string"), tolerant=True)
+    gold = spark.createDataFrame([(1, "main text of it", "said by me")], "page_id long, content string, comments string")
+    got = model.Extractor(to_extract=("content", "comments")).labels_and_weights(rows, gold).orderBy("block_idx").select("text", "label", "weight").collect()
+    assert [tuple(r) for r in got] == [("main text of it", 1.0, 4.0), ("menu", 0.0, 1.0), ("said by me", 1.0, 3.0)]
+
+
+def test_the_package_goes_to_executors(tmp_path):
+    code = f"""
+import sys
+sys.path.insert(0, {str(shipping.ROOT)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.warehouse.dir", {str(tmp_path / "w")!r}).getOrCreate()
+import __spark_entry__ as e
+print("ROWS", e.queries()["min_depths"](spark, {SF!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS 569" in done.stdout, done.stderr[-2000:]
+
+
 def test_small_pages_give_nothing(spark):
     pages = spark.createDataFrame([(1, "<p>one</p><p>two</p>"), (2, ""), (3, None)], "page_id long, html string")
     assert [r.content for r in model.extract_content(pages).collect()] == ["", "", ""]
@@ -54,8 +108,8 @@ def test_training_round_trip(spark, tmp_path):
     fitted, report = model.train_model(start, pages, gold, output=str(tmp_path))
     scores = {r.in_train: r.f1 for r in report.collect()}
     assert scores[True] > 0.8 and scores[False] > 0.7
-    loaded = model.load_model(f"{tmp_path}/{model.model_name(list(start.columns), start.targets)}")
-    again = model.Extractor(model=loaded)
+    again = model.Extractor.load(spark, f"{tmp_path}/kohlschuetter_readability_weninger_content")
+    assert (again.names, again.targets, again.prob_threshold) == (start.names, start.targets, start.prob_threshold)
     assert sorted(again.extract(pages).collect()) == sorted(fitted.extract(pages).collect())
     assert spark.read.json(f"{tmp_path}/*_block_errors").count() == 2
 
@@ -98,7 +152,10 @@ def test_files(spark, tmp_path):
     assert names(extension="html", full_path=False) == ["a.html", "b.html"] and names(match="^[bn]") == ["b.html", "n.txt"]
     with pytest.raises(OSError):
         files.list_files(spark, str(tmp_path / "none")).collect()
-    assert sorted(map(tuple, files.read_html(spark, str(tmp_path)).collect())) == [("a", "报"), ("b", "caf\xe9")]
+    (tmp_path / "c.html").write_bytes(b"")
+    (tmp_path / "d.html").write_bytes("\n\t\u00a0x y\u2003\n".encode())
+    assert names(extension=".html", full_path=False) == ["a.html", "b.html", "c.html", "d.html"]
+    assert sorted(map(tuple, files.read_html(spark, str(tmp_path)).collect())) == [("a", "报"), ("b", "caf\xe9"), ("c", ""), ("d", "x y")]
 
 
 def test_gold_files(spark, tmp_path):

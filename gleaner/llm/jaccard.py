@@ -281,7 +281,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, threshold: float) -> Dat
     ends = pairs.select("bucket", F.explode(F.array("a", "b")).alias("id")).distinct()
     wanted = checkpointed(ends.groupBy("id").agg(F.collect_list("bucket").alias("in_buckets")))
     many = wanted.agg(F.sum(F.size("in_buckets") + 4)).first()[0] or 0
-    if 8 * many <= BROADCAST_BYTES:
+    if 24 * many <= BROADCAST_BYTES:
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("text IS NOT NULL").join(wanted, "id")
 
@@ -391,7 +391,7 @@ def keep_one(docs: DataFrame, threshold: float = 0.5, n: int = 3) -> DataFrame:
     """
     gone = checkpointed(components(jaccard_join(docs, threshold, n)).select("id"))
     many = gone.count()
-    if 8 * many <= BROADCAST_BYTES:
+    if 24 * many <= BROADCAST_BYTES:
         gone = F.broadcast(gone)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
     return packed.join(gone, "id", "left_anti").select("row.*")

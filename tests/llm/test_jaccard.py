@@ -111,6 +111,13 @@ def test_components(spark):
     assert sorted(x for x in got if x[0] != x[1]) == want
 
 
+def test_components_of_nothing(spark):
+    none = spark.createDataFrame([], "doc_id_a long, doc_id_b long")
+    assert jaccard.components(none).count() == 0
+    assert jaccard.components(spark.createDataFrame([(3, 3)] * 4, "doc_id_a long, doc_id_b long")).count() == 0
+    assert records(jaccard.components(spark.createDataFrame([(2, 1)] * 3 + [(1, 2)], "doc_id_a long, doc_id_b long")), "id", "root") == [(2, 1)]
+
+
 def test_query_counts_all_links(spark, tmp_path):
     rng = random.Random(3)
     rows, n = [], 0

@@ -139,3 +139,16 @@ def test_names_of_the_count(spark):
     assert [tuple(r) for r in line_dedup.drop_repeated_lines(df).select("text", "lines_removed").collect()] == [("a", 1)]
     kept = line_dedup.drop_repeated_lines(df, removed=None)
     assert kept.columns == df.columns and kept.first().lines_removed == "mine"
+
+
+def test_index_awkward(spark, tmp_path):
+    index = line_dedup.LineIndex(spark, str(tmp_path))
+    assert index.insert(docs(spark, AWKWARD).limit(0)).count() == 0 and index.refs().count() == 0
+    index.delete(docs(spark, AWKWARD))
+    assert index.refs().count() == 0
+    assert index.insert(docs(spark, AWKWARD)).count() == 5  # a tab is a line
+    # the text of 6, 6 and 7 is one line of three references
+    assert sorted(r[2] for r in entries(index)) == [1, 1, 1, 1, 3]
+    index.compact()
+    index.delete(docs(spark, AWKWARD))
+    assert index.refs().count() == 0 and line_dedup.LineIndex(spark, str(tmp_path)).version == 5

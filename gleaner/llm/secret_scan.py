@@ -106,11 +106,15 @@ class Ledger:
                 raise
             return self.spark.createDataFrame([], schema)
 
+    def is_new(self) -> bool:
+        """Whether nothing has been scanned yet."""
+        return not self._read("scanned", "blob string").limit(1).count()
+
     def scanned(self, blobs: DataFrame | None = None) -> DataFrame:
         """blob, rules (name@version); of ``blobs`` (blob) only, if given."""
         made = self._read("scanned", "blob string, rules array<string>")
         if blobs is not None:  # a small batch doesn't set the ledger in motion
-            made = made.join(_within(blobs.select("blob"), 80), "blob", "left_semi")
+            made = made.join(_within(blobs.select("blob"), 256), "blob", "left_semi")
         return made.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("rules")))).alias("rules"))
 
     def findings(self) -> DataFrame:
@@ -149,7 +153,8 @@ def scan(docs: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...]
     keys = F.array(*[F.lit(r.key) for r in rules]).cast("array<string>")
     all_versions = checkpointed(versions(docs))
     blobs = all_versions.groupBy("blob").agg(F.min("key").alias("first"))
-    if ledger is not None:
+    complete_only = ledger is None or ledger.is_new()  # each blob with all rules or not at all
+    if not complete_only:
         blobs = checkpointed(blobs)
         done = ledger.scanned(blobs)
         blobs = checkpointed(blobs.join(done, "blob", "left").withColumn("missing", F.array_except(keys, F.coalesce("rules", F.array().cast("array<string>")))).drop("rules"))
@@ -159,7 +164,7 @@ def scan(docs: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...]
     marked = all_versions.join(blobs, "blob").filter(f"key <> first OR {complete}").select("key", "prefix").distinct()
     texts = docs.filter("text IS NOT NULL").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("key"), F.sha2("text", 256).alias("blob"), "text")
     texts = texts.withColumn("prefix", F.conv(F.substring("blob", 1, 15), 16, 10).cast("long")).join(_within(checkpointed(marked), 16), ["key", "prefix"], "left_anti")
-    if ledger is None:
+    if complete_only:
         texts = texts.withColumn("missing", F.lit(None).cast("array<string>"))
     else:
         partly = checkpointed(blobs.filter(F.size("missing").between(1, len(rules) - 1)).select("blob", "missing"))

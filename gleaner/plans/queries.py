@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from gleaner.operators import blocks as block_ops
 from gleaner.operators import events, features, labels, metrics, model, parse
 from gleaner.plans import oracles
 from gleaner.sources import files
+from gleaner.sources.folders import new_folder
 from gleaner.streaming import extract as streaming
 
 DIGITS = 6
@@ -181,12 +181,8 @@ def extracted_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streamed_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship over a stream of the pages' files.
-
-    Output and stream checkpoint lie beside spark.checkpoint.dir, or in the
-    warehouse folder where that is unset.
-    """
-    at = stored(spark, "stream")
+    """The flagship over a stream of the pages' files; output and state in a new folder."""
+    at = new_folder(spark, "stream")
     source = streaming.page_stream(spark, sf_dir, "pages.parquet")
     query = streaming.extract_stream(source, f"{at}/out", f"{at}/state")
     query.awaitTermination()
@@ -265,15 +261,9 @@ def casts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def stored(spark: SparkSession, name: str) -> str:
-    """A new folder beside the checkpoints, or in the warehouse folder where none are named."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def gold_block_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold blocks of all pages, written as tables and read again."""
-    at = stored(spark, "gold")
+    at = new_folder(spark, "gold")
     files.write_gold_blocks(labels.gold_blocks(tolerant_blocks(spark, sf_dir), gold_texts(spark, sf_dir)), at)
     made = labels.read_again(spark.read.parquet(at))
     return made.select("page_id", "block_idx", F.size("block_tokens").alias("n_tokens"), F.array_join("block_tokens", " ").alias("block_tokens"))
@@ -281,7 +271,7 @@ def gold_block_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content by the built-in model, written with its features and loaded."""
-    at = stored(spark, "model")
+    at = new_folder(spark, "model")
     model.Extractor().save(spark, at)
     return model.Extractor.load(spark, at).extract(pages(spark, sf_dir))
 
@@ -300,7 +290,7 @@ def extracted_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold = labels.block_labels(labels.gold_blocks(blocks, gold_texts(spark, sf_dir)))
     for name in ("comments", "content_and_comments"):
         start = model.Extractor(to_extract=tuple(name.split("_and_")), cap_weights=True, max_block_weight=50)
-        found.paths[name] = stored(spark, name)
+        found.paths[name] = new_folder(spark, name)
         start.with_model(model.fit_logistic(start, blocks, gold)).save(spark, found.paths[name])
     made = pages(spark, sf_dir)
     parts = [found.get(name, spark).extract(made).withColumnRenamed("content", name) for name in ("content", "comments", "content_and_comments")]

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 from common import AWKWARD, docs, records
 
 from gleaner.llm import jaccard
@@ -93,7 +94,9 @@ def test_awkward(spark):
     assert jaccard.keep_one(docs(spark, AWKWARD).limit(0)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(jaccard, "FEW_EDGES", few)
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(100 + i, 100 + rng.randint(0, i)) for i in range(50)] + [(500, 501), (501, 501)]
     root = {}
@@ -107,11 +110,14 @@ def test_components(spark):
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
     want = sorted((x, find(x)) for x in root if find(x) != x)
+    rng.shuffle(edges)
     got = records(jaccard.components(spark.createDataFrame(edges, "doc_id_a long, doc_id_b long")), "id", "root")
     assert sorted(x for x in got if x[0] != x[1]) == want
 
 
-def test_components_of_nothing(spark):
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_components_of_nothing(spark, monkeypatch, few):
+    monkeypatch.setattr(jaccard, "FEW_EDGES", few)
     none = spark.createDataFrame([], "doc_id_a long, doc_id_b long")
     assert jaccard.components(none).count() == 0
     assert jaccard.components(spark.createDataFrame([(3, 3)] * 4, "doc_id_a long, doc_id_b long")).count() == 0

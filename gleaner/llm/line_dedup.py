@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.shared import checkpointed, ensure_checkpoint_dir, is_missing, read_table, sort_id
+from gleaner.llm.shared import checkpointed, ensure_checkpoint_dir, exists, is_missing, read_table, remove, sort_id
 
 SLOTS = 4
 KICKS = 500
@@ -177,7 +177,7 @@ class LineIndex:
 
     def __init__(self, spark: SparkSession, path: str, shards: int | None = None):
         self.spark, self.path = spark, path
-        last = self._read("commits", self._COMMITS).agg(F.max(F.struct("version", "base", "shards")).alias("last")).first()["last"]
+        last = self._read("commits", self._COMMITS).selectExpr("max(struct(version, base, shards)) AS last").first()["last"] if exists(spark, f"{path}/commits") else None
         self.version, self.base, self.shards = (last["version"], last["base"], last["shards"]) if last else (0, 1, shards)
 
     def _read(self, name: str, schema: str) -> DataFrame:
@@ -257,8 +257,9 @@ class LineIndex:
                 return pd.DataFrame({"shard": [key[0]], "filter": [None]})
             return pd.DataFrame({"shard": [key[0]], "filter": [found.write()]})
 
-        old = self.filters() if self.version else self.spark.createDataFrame([], "shard int, filter binary")
-        made = checkpointed(old.groupBy("shard").cogroup(moved.select("shard", "h1").groupBy("shard")).applyInPandas(change, "shard int, filter binary"))
+        if not self.version:
+            return self._built(moved)
+        made = checkpointed(self.filters().groupBy("shard").cogroup(moved.select("shard", "h1").groupBy("shard")).applyInPandas(change, "shard int, filter binary"))
         full = made.filter("filter IS NULL").select("shard")
         if not full.limit(1).count():
             return made
@@ -292,14 +293,17 @@ class LineIndex:
 def drop_repeated_lines(docs: DataFrame, index: LineIndex | None = None, removed: str | None = "lines_removed") -> DataFrame:
     """``docs`` with the first occurrence of every line only, and how many were removed.
 
-    Without an index a new one is made in the shared checkpoint folder. The number
-    goes to the column ``removed``, or nowhere.
+    Without an index a new one is made in the shared checkpoint folder, and removed
+    when it has told what is new. The number goes to the column ``removed``, or nowhere.
     """
-    spark = docs.sparkSession
-    if index is None:
+    spark, own = docs.sparkSession, index is None
+    if own:
         index = LineIndex(spark, f"{ensure_checkpoint_dir(spark)}/lines-{uuid.uuid4().hex}")
     columns = [c for c in docs.columns if c != removed]
-    fresh = index.insert(docs).groupBy("id", "version").agg(F.collect_list("line_no").alias("fresh"))
+    new = index.insert(docs)  # checkpointed, so the index isn't read again
+    if own:
+        remove(spark, index.path)
+    fresh = new.groupBy("id", "version").agg(F.collect_list("line_no").alias("fresh"))
     row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
     other = F.xxhash64(F.lit(0), *[F.col(f"`{c}`") for c in columns if c != "text"]).alias("other")
     rows = docs.select(row, sort_id().alias("id"), F.xxhash64("text").alias("version"), other, F.coalesce(F.col("text").rlike(r"[^ \n]"), F.lit(False)).alias("filled"))

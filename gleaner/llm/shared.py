@@ -46,6 +46,11 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def is_missing(error: Exception) -> bool:
     """Whether a table couldn't be read because nothing has been written there."""
     return "PATH_NOT_FOUND" in str(error)

@@ -9,6 +9,7 @@ from common import AWKWARD, docs, records
 from pyspark.sql import functions as F
 
 from gleaner.llm import line_dedup
+from gleaner.llm.shared import ensure_checkpoint_dir
 
 
 def brute(rows):
@@ -134,6 +135,12 @@ def test_a_document_of_many_repeated_lines(spark):
     assert [(r.doc_id, r.text, r.lines_removed) for r in got] == [(1, "again\nand\nend", 79_998)] and time.time() - began < 40
 
 
+def test_no_index_is_left_behind(spark):
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    line_dedup.drop_repeated_lines(docs(spark, [(1, "a\nb", "s")])).count()
+    assert os.path.isdir(folder) and not [p for p in os.listdir(folder) if p.startswith("lines-")]
+
+
 def test_names_of_the_count(spark):
     df = docs(spark, [(1, "a\na", "s")]).withColumn("lines_removed", F.lit("mine"))
     assert [tuple(r) for r in line_dedup.drop_repeated_lines(df).select("text", "lines_removed").collect()] == [("a", 1)]

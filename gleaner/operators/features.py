@@ -134,13 +134,15 @@ def readability(blocks: DataFrame, key: str = "page_id") -> DataFrame:
     def part(**given: Column) -> Column:
         return F.struct(*[given.get(n, F.lit(None)).cast(t).alias(n) for n, t in types.items()])
 
-    counts = (size > 25) & F.col("block_start_tag").isin("div", "p") & (F.size("ancestors") > 0)
+    listed = lambda c: F.coalesce(F.col(c), F.array().cast(blocks.schema[c].dataType))
+    ancestors = listed("ancestors")
+    counts = (size > 25) & F.col("block_start_tag").isin("div", "p") & (F.size(ancestors) > 0)
     gain = 1 + F.least(F.floor(size / 100), F.lit(3))
     parts = F.concat(
         F.array(part(row=whole)),
-        F.transform("readability_class_weights", lambda w: part(node=w["node_id"], points=w["weight"])),
-        F.when(counts, F.array(part(node=F.get("ancestors", F.size("ancestors") - 1), gain=gain))).otherwise(F.array().cast(T.ArrayType(blocks.select(part().alias("p")).schema["p"].dataType))),
-        F.transform("ancestors", lambda a: part(node=a, linked=F.col("link_density") * size, bytes=size)),
+        F.transform(listed("readability_class_weights"), lambda w: part(node=w["node_id"], points=w["weight"])),
+        F.when(counts, F.array(part(node=F.get(ancestors, F.size(ancestors) - 1), gain=gain))).otherwise(F.array().cast(T.ArrayType(blocks.select(part().alias("p")).schema["p"].dataType))),
+        F.transform(ancestors, lambda a: part(node=a, linked=F.col("link_density") * size, bytes=size)),
     )
     rows = blocks.select(key, "block_idx", F.explode(parts).alias("part")).select(key, "block_idx", "part.*")
     node = Window.partitionBy(key, "node")

@@ -193,3 +193,72 @@ def test_sets_that_nothing_parts(spark):
     values[:, 0] = np.arange(600)
     pairs = jaccard.join_bucket(values, np.arange(600), 0.4, 3, 1)
     assert sum(len(a) for a, _ in pairs) == 600 * 599 // 2
+
+
+def cluster(rng, sizes, far):
+    """Texts of near copies of one base, and of others that resemble it by half only."""
+    base, new = [f"v{i}" for i in range(80)], lambda: f"n{rng.randint(0, 10**6)}"
+    near = [[new() if rng.random() < 0.02 else w for w in base] for _ in range(sizes)]
+    half = [base[:58] + [new() for _ in range(22)] for _ in range(far)]
+    return [" ".join(w) for w in near + half]
+
+
+@pytest.mark.parametrize(("leaf", "hot"), [(256, 4096), (16, 64)])
+def test_a_large_cluster_is_counted_whole_without_its_pairs(spark, monkeypatch, leaf, hot):
+    """The pairs of near copies grow as the square of their number; none of a ball's is listed."""
+    monkeypatch.setattr(jaccard, "LEAF", leaf)
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 100, raising=False)
+    rng = random.Random(8)
+    texts = cluster(rng, 420, 30) + [" ".join(f"o{rng.randint(0, 10**6)}" for _ in range(40)) for _ in range(30)]
+    rows = [(i, t, "s") for i, t in enumerate(texts + texts[:25])]
+    rng.shuffle(rows)
+    table = docs(spark, rows).repartition(3)
+    pairs = brute([(i, t) for i, t, _ in rows])
+    want = brute_classes([(i, t) for i, t, _ in rows], pairs)
+    near = jaccard.compared(table, 0.5, 3, 0.95)[1]
+    assert near.count() < len(pairs) / 4
+    got = sorted(records(jaccard.classes(table), "doc_id", "class_id", "n_links"))
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    most = {i: k for i, _, k in want}
+    assert all(k <= most[i] for i, _, k in got) and sum(k for *_, k in got) >= 0.99 * sum(most.values())
+    listed = unfolded({(r.doc_id_a, r.doc_id_b): r.jaccard for r in jaccard.jaccard_join(table).collect()})
+    assert all(abs(pairs[p] - s) < 1e-9 for p, s in listed.items()) and len(listed) >= 0.99 * len(pairs)
+    kept = sorted(r.doc_id for r in jaccard.keep_one(table).select("doc_id").collect())
+    assert kept == sorted({c for _, c, _ in want})
+
+
+def test_documents_of_several_sets_beside_a_ball(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LEAF", 8)
+    texts = cluster(random.Random(4), 60, 0)
+    rows = [(i, t, "s") for i, t in enumerate(texts)] + [(5, texts[0].replace("v9", "else"), "s"), (70, texts[7], "s"), (70, texts[8], "s"), (6, texts[6], "s")]
+    got = {i: (c, k) for i, c, k in records(jaccard.classes(docs(spark, rows)), "doc_id", "class_id", "n_links")}
+    sets, held = {}, {}
+    for i, t, _ in rows:
+        sets.setdefault(frozenset(grams(t)), set()).add(i)
+        held.setdefault(i, set()).add(frozenset(grams(t)))
+    first = {s: min(ids) for s, ids in sets.items()}
+    like = {s: [o for o in sets if o != s and first[o] != first[s] and len(o & s) >= 0.5 * len(o | s)] for s in sets}
+    want = {i: sum(len(sets[s]) - 1 + sum(len(sets[o]) for o in like[s]) for s in own) for i, own in held.items()}
+    assert {i: k for i, (_, k) in got.items()} == want and {c for c, _ in got.values()} == {0}
+
+
+def test_shared_counts_and_roots():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    sets = [np.unique(np.where(rng.random(300) < rng.choice([0, 0.1, 1]), rng.integers(0, 900, 300).astype(np.uint64), base)) for _ in range(60)]
+    want = [[len(np.intersect1d(x, y)) for y in sets[40:]] for x in sets[:40]]
+    assert jaccard.shared(sets[:40], sets[40:]).tolist() == want
+    linked = np.zeros((7, 7), bool)
+    for a, b in [(1, 4), (4, 2), (3, 6)]:
+        linked[a, b] = linked[b, a] = True
+    assert jaccard.roots(linked).tolist() == [0, 1, 1, 3, 1, 5, 3]
+
+
+def test_few_pairs_are_held_at_a_time():
+    values = np.zeros((3000, jaccard.WIDTH), np.uint16)
+    sizes = [len(a) for a, _ in jaccard.join_bucket(values, np.arange(3000), 0.4, 3, 1)]
+    assert sum(sizes) == 3000 * 2999 // 2 and max(sizes) < 3000
+    assert not isinstance(jaccard.join_bucket(values, np.arange(3000), 0.4, 3, 1), list)
+    ball = np.repeat([1, 1, 2], 1000)
+    assert sum(len(a) for a, _ in jaccard.join_bucket(values, np.arange(3000), 0.4, 3, 1, ball=ball)) == 2000 * 1000

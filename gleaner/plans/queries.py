@@ -12,7 +12,7 @@ from gleaner.operators import blocks as block_ops
 from gleaner.operators import events, features, labels, metrics, model, parse
 from gleaner.plans import oracles
 from gleaner.sources import files
-from gleaner.sources.folders import new_folder
+from gleaner.sources.folders import is_folder, new_folder
 from gleaner.streaming import extract as streaming
 
 DIGITS = 6
@@ -181,9 +181,9 @@ def extracted_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streamed_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship over a stream of the pages' files; output and state in a new folder."""
-    at = new_folder(spark, "stream")
-    source = streaming.page_stream(spark, sf_dir, "pages.parquet")
+    """The flagship over a stream of the pages' file or files; output and state in a new folder."""
+    at, name = new_folder(spark, "stream"), "pages.parquet"
+    source = streaming.page_stream(spark, f"{sf_dir}/{name}") if is_folder(spark, f"{sf_dir}/{name}") else streaming.page_stream(spark, sf_dir, name)
     query = streaming.extract_stream(source, f"{at}/out", f"{at}/state")
     query.awaitTermination()
     return spark.read.parquet(f"{at}/out").select("page_id", "content")

@@ -1,4 +1,4 @@
-"""Where tables that a query writes for itself lie."""
+"""Where tables lie, those that a query writes for itself among them."""
 
 from __future__ import annotations
 
@@ -19,3 +19,9 @@ def new_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a table lies in a folder of files, not in one file."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()

@@ -143,6 +143,13 @@ def test_stream(spark, tmp_path):
     assert raw.isStreaming and "start_tag" in raw.columns
 
 
+def test_stream_of_a_folder_of_files(spark, tmp_path):
+    pages = queries.table(spark, SF, "pages").limit(9)
+    pages.repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries.streamed_content(spark, str(tmp_path)).collect()
+    assert sorted(got) == sorted(model.extract_content(pages.select("page_id", "html")).collect()) and len(got) == 9
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "b.html").write_bytes(" caf\xe9 ".encode("latin-1"))
     (tmp_path / "a.html").write_bytes("报".encode())

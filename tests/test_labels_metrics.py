@@ -2,12 +2,15 @@
 
 import random
 import re
+import time
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.functions import arrow
 from gleaner.operators import blocks, labels, metrics
 from gleaner.plans import queries
 
@@ -89,6 +92,49 @@ def test_long_sequences_hold_few_rows():
     assert all(t in rest for t, m in zip(x, marks) if m)
 
 
+def test_alignment_takes_less_than_the_table():
+    rng = random.Random(6)
+    x = [rng.choice(range(300)) for _ in range(4000)]
+    y = [t for t in x if rng.random() < 0.8]
+    took = []
+    for made in (labels.in_common, labels.common_lengths):
+        start = time.perf_counter()
+        made(x, y)
+        took.append(time.perf_counter() - start)
+    assert took[0] < took[1] / 2
+
+
+@pytest.mark.parametrize("held, short", [(1 << 25, 4096), (1 << 25, 0), (600, 0), (0, 3)])
+def test_alignment_whatever_is_held(monkeypatch, held, short):
+    rng = random.Random(7)
+    monkeypatch.setattr(labels, "HELD_BITS", held)
+    monkeypatch.setattr(labels, "SHORT", short)
+    for _ in range(300):
+        x, y = ([rng.choice("abcd") for _ in range(rng.randrange(25))] for _ in range(2))
+        i, j, want, table = len(x), len(y), [], labels.common_lengths(x, y)
+        while i or j:
+            if i and j and x[i - 1] == y[j - 1]:
+                i, j = i - 1, j - 1
+                want.append(f"  {x[i]}")
+            elif j and (not i or table[i][j - 1] >= table[i - 1][j]):
+                j -= 1
+                want.append(f"+ {y[j]}")
+            else:
+                i -= 1
+                want.append(f"- {x[i]}")
+        assert labels.diff(x, y) == want[::-1]
+        assert labels.in_common(x, y) == [t[0] == " " for t in want[::-1] if t[0] != "+"]
+
+
+def test_lists_become_objects_in_pieces(monkeypatch):
+    monkeypatch.setattr(arrow, "PIECE", 10)
+    x = pa.array([["a"] * n for n in (3, 30, 0, 4, 4)] + [None, ["b"]])
+    assert list(arrow.pieces(arrow.lengths(x), 10)) == [(0, 1), (1, 1), (2, 5)]
+    held = []
+    made = arrow.by_pieces(lambda a, b: held.append(len(a)) or a, x.slice(1), x.slice(1), pa.list_(pa.string()))
+    assert made.to_pylist() == x.to_pylist()[1:] and held == [30, 0, 4, 4, 1]
+
+
 def test_gold_queries_against_loops(spark):
     """Labels of the whole query, by the table of the definition."""
     sf = "/root/testdata/sf0.001"

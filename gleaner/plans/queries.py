@@ -285,16 +285,23 @@ def forest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def extracted_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content, comments and both of every page; the models of the last two are trained
-    on all pages, stored and loaded."""
-    blocks, found = tolerant_blocks(spark, sf_dir), model.Models()
-    gold = labels.block_labels(labels.gold_blocks(blocks, gold_texts(spark, sf_dir)))
-    for name in ("comments", "content_and_comments"):
-        start = model.Extractor(to_extract=tuple(name.split("_and_")), cap_weights=True, max_block_weight=50)
+    on all pages, stored and loaded.
+
+    Pages are parsed once: blocks with their features are written and read again, by
+    the alignment, the training of both models and all three extractions.
+    """
+    found, kinds = model.Models(), ("content", "comments", "content_and_comments")
+    at, columns = new_folder(spark, "blocks"), model.Extractor().columns
+    model.training_rows(model.Extractor(), tolerant_blocks(spark, sf_dir)).select("page_id", "block_idx", "n_blocks", "text", *columns).write.parquet(at)
+    rows = spark.read.parquet(at)
+    gold = labels.block_labels(labels.gold_blocks(rows, gold_texts(spark, sf_dir)))
+    known = rows.filter("n_blocks >= 3").select("page_id", "block_idx", *columns).join(gold, ["page_id", "block_idx"]).persist()
+    for name in kinds[1:]:
         found.paths[name] = new_folder(spark, name)
-        start.with_model(model.fit_logistic(start, blocks, gold)).save(spark, found.paths[name])
-    made = pages(spark, sf_dir)
-    parts = [found.get(name, spark).extract(made).withColumnRenamed("content", name) for name in ("content", "comments", "content_and_comments")]
-    return parts[0].join(parts[1], "page_id").join(parts[2], "page_id")
+        start = model.Extractor(to_extract=tuple(name.split("_and_")), cap_weights=True, max_block_weight=50)
+        start.with_model(model.fit_logistic_rows(start, start.targets_of(known, beside=columns))).save(spark, found.paths[name])
+    known.unpersist()
+    return model.extract_kinds(pages(spark, sf_dir), rows, {name: found.get(name, spark) for name in kinds})
 
 
 NAMED: tuple[Callable[[SparkSession, str], DataFrame], ...] = (

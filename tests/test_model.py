@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner import shipping
-from gleaner.operators import blocks, features, labels, model
+from gleaner.operators import blocks, features, labels, model, parse
 from gleaner.plans import queries
 from gleaner.sources import files
 from gleaner.streaming import extract as streaming
@@ -114,6 +114,36 @@ def test_training_round_trip(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/*_block_errors").count() == 2
 
 
+def test_training_makes_labels_once(spark):
+    pages, made = queries.pages(spark, SF), spark.sparkContext.accumulator(0)
+    gold = labels.block_labels(labels.gold_blocks(queries.tolerant_blocks(spark, SF), queries.gold_texts(spark, SF))).persist()
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    again = gold.mapInArrow(counted, gold.schema)
+    model.train_model(model.Extractor(model=model.forest(trees=2, least=5)), pages, again)[1].collect()
+    assert made.value == gold.count()
+
+
+def test_kinds_are_parsed_once(spark, monkeypatch):
+    times, parsed = [], parse.raw_blocks
+    monkeypatch.setattr(parse, "raw_blocks", lambda *a, **k: times.append(1) or parsed(*a, **k))
+    got = {r.page_id: r for r in queries.extracted_kinds(spark, SF).collect()}
+    assert len(times) == 1
+    content = {r.page_id: r.content for r in model.extract_content(queries.pages(spark, SF)).collect()}
+    assert {k: r.content for k, r in got.items()} == content
+    assert sum(r.comments != "" for r in got.values()) > 40
+
+
+def test_kinds_share_features(spark):
+    some = {"content": model.Extractor(), "comments": model.Extractor(features="kohlschuetter", to_extract="comments")}
+    with pytest.raises(ValueError):
+        model.extract_kinds(queries.pages(spark, SF), queries.tolerant_blocks(spark, SF), some)
+
+
 def test_grid(spark):
     from pyspark.ml.classification import LogisticRegression
 

@@ -14,6 +14,27 @@ from gleaner.functions import text
 from gleaner.operators import events, parse
 
 
+#: Bytes of the pages' files, and a size beyond which it isn't known, as that of a stream's batch.
+PART_BYTES, UNKNOWN_BYTES = 4 << 20, 1 << 50
+
+
+def parts_of(pages: DataFrame) -> int | None:
+    """Into how many parts blocks of ``pages`` are exchanged; None leaves it to Spark, as for small tables.
+
+    Sorts and windows hold a part, so their memory follows its size. Spark's number of
+    parts is a setting; this one follows the pages, by the plan's estimate of their bytes.
+    """
+    size = int(str(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = -(-size // PART_BYTES)
+    return parts if pages.sparkSession.sparkContext.defaultParallelism < parts and size < UNKNOWN_BYTES else None
+
+
+def tolerant_raw(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """Raw blocks by the tolerant parser, exchanged by page."""
+    raw, parts = parse.raw_blocks(pages, key, html), None if pages.isStreaming else parts_of(pages)
+    return raw.repartition(parts, key) if parts else raw
+
+
 def from_raw(raw: DataFrame, key: str = "page_id", extra: dict[str, Column] | None = None) -> DataFrame:
     """Blocks of raw blocks; ``extra`` adds columns computed from raw ones.
 
@@ -48,7 +69,7 @@ def blocks(pages: DataFrame, key: str = "page_id", html: str = "html", tolerant:
 
     Pages that can't be parsed (null, empty, nothing but a comment) have none.
     """
-    made = parse.raw_blocks(pages, key, html) if tolerant else events.raw_blocks(pages, key, html)
+    made = tolerant_raw(pages, key, html) if tolerant else events.raw_blocks(pages, key, html)
     return from_raw(made, key, extra)
 
 
@@ -78,7 +99,7 @@ def blockify(pages: DataFrame, variant: str = "tag_count_no_css_readability", ke
         bad = pages.filter(~parse.parseable(F.col(html))).limit(1).count()
         if bad:
             raise BlockifyError("a page is null, empty or nothing but a comment")
-    raw = parse.raw_blocks(pages, key, html)
+    raw = tolerant_raw(pages, key, html)
     if parse_callback is not None:
         parse_callback(raw)
     return from_raw(raw, key).select(key, "block_idx", "text", "link_text", "link_density", "text_density", "n_bytes", *VARIANTS[variant])
